@@ -8,8 +8,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm import bpe, chat, media
-from veriloom.llm.common import table
+from veriloom.llm import bpe, chat, langid, media, packing, quality
+from veriloom.llm.common import fold, table
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    path = vocabulary or public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), path))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.withColumn("held_out", fold("doc_id", quality.LEARN_MODULUS) == quality.HELD_OUT)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = vocabulary or public_tokenizers.path("piece_bpe_32k.model")
+    predicted = langid.predict(docs, langid.train(docs, path))
+    return predicted.withColumn("held_out", fold("doc_id", langid.LEARN_MODULUS) == langid.HELD_OUT)
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +47,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_chat_formatting, op7_media_columns, op9_bpe)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op4_language_id, op6_chat_formatting, op7_media_columns, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
