@@ -30,11 +30,13 @@ from pyspark.sql import DataFrame
 from veriloom.llm.common import arrow_map, arrow_schema, small_batches
 
 #: Pieces remembered by a worker.
-CACHE = 1_200_000
+CACHE = 500_000
 #: Bytes of text whose words go into one trie.
 GATHER = 16 << 20
 #: Words remembered by a worker, besides.
-WORDS = 800_000
+WORDS = 400_000
+#: Pairs of neighbours remembered.
+PAIRS = 400_000
 #: Fixed value: the public word pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -62,7 +64,8 @@ class Encoder:
         self.made = {token: (r, a, b) for (a, b), (r, token) in reversed(self.rank.items())}
         self.single = [self.ids[bytes([b])] for b in range(256)]
         #: Tokens that can end an encoding: those which encode as themselves.
-        self.ends = {b: i for b, i in self.ids.items() if self.merged([*map(self.single.__getitem__, b)]) == [i]}
+        self.sound: dict[int, bool] = {}
+        self.ends = {b: i for b, i in self.ids.items() if self.is_sound(i)}
         self.longest = max(map(len, self.ends))
         self.stable: dict[tuple[int, int], bool] = {}
         self.words = regex.compile(PATTERN)
@@ -71,15 +74,15 @@ class Encoder:
         self.coded: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
 
-    def merged(self, ids: list[int]) -> list[int]:
-        """Plain BPE: the pair of lowest rank merges first, the leftmost among equals."""
-        while len(ids) > 1:
-            best = min((self.rank.get(p, (1 << 60, 0))[0], i) for i, p in enumerate(zip(ids, ids[1:], strict=False)))
-            if best[0] == 1 << 60:
-                break
-            i = best[1]
-            ids[i : i + 2] = [self.rank[ids[i], ids[i + 1]][1]]
-        return ids
+    def is_sound(self, token: int) -> bool:
+        """The token encodes as itself: its halves do, and none but its own merge crosses their border in time."""
+        if token not in self.made:
+            return len(self.bytes_of[token]) == 1
+        if token not in self.sound:
+            _, a, b = self.made[token]
+            crossing = ((x, y) for x, y in self.crossings(a, b) if (x, y) != (a, b))
+            self.sound[token] = self.is_sound(a) and self.is_sound(b) and not any(crossing)
+        return self.sound[token]
 
     def spine(self, token: int, side: int) -> list[tuple[int, float]]:
         """The tokens that stand at one edge (1 left, 2 right) while BPE builds the token, each with the rank of the merge that consumes it."""
@@ -90,11 +93,16 @@ class Encoder:
                 return out
             gone, token = self.made[token][0], self.made[token][side]
 
+    def crossings(self, a: int, b: int):
+        """Merges across the border that come before the merges that consume their two sides; of equal ranks, the leftmost is first."""
+        rank, left = self.rank, self.spine(b, 1)
+        return [(x, y) for x, gone_x in self.spine(a, 2) for y, gone_y in left if (p := rank.get((x, y))) and p[0] < gone_x and p[0] <= gone_y]
+
     def neighbours(self, a: int, b: int) -> bool:
-        """No merge across the border comes before the merges that consume its two sides; of equal ranks, the leftmost is first."""
         if (known := self.stable.get((a, b))) is None:
-            rank, left = self.rank, self.spine(b, 1)
-            known = self.stable[a, b] = not any((p := rank.get((x, y))) and p[0] < gone_x and p[0] <= gone_y for x, gone_x in self.spine(a, 2) for y, gone_y in left)
+            if len(self.stable) > PAIRS:
+                self.stable.clear()
+            known = self.stable[a, b] = not self.crossings(a, b)
         return known
 
     def walk(self, words: Iterable[bytes]) -> dict[bytes, list[int]]:
@@ -210,12 +218,14 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return arrow_map(encoded.select("doc_id", "ids"), rows, arrow_schema("doc_id long, text string"), "doc_id long, text string")
 
 
-def bpe_digest(encoded: DataFrame, path: str) -> DataFrame:
-    """Lengths and hashes of the ids and of the text decoded from them."""
+def bpe_digest(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Encodes, decodes the ids again, and gives lengths and hashes of both: one pass, so no ids travel."""
+    small_batches(df.sparkSession)
 
     def rows(batch):
-        ids, coded = (c.to_pylist() for c in batch.columns)
-        texts = (encoder(path).decode(x).encode("utf-8", "surrogatepass") for x in coded)
-        return {"doc_id": ids, "n_tokens": [len(x) // 4 for x in coded], "ids_sha256": [hashlib.sha256(x).hexdigest() for x in coded], "decoded_sha256": [hashlib.sha256(t).hexdigest() for t in texts]}
+        ids, texts = (c.to_pylist() for c in batch.columns)
+        coded = encoder(path).encode([t or "" for t in texts])
+        back = (encoder(path).decode(x).encode("utf-8", "surrogatepass") for x in coded)
+        return {"doc_id": ids, "n_tokens": [len(x) // 4 for x in coded], "ids_sha256": [hashlib.sha256(x).hexdigest() for x in coded], "decoded_sha256": [hashlib.sha256(t).hexdigest() for t in back]}
 
-    return arrow_map(encoded, rows, arrow_schema(DIGEST), DIGEST)
+    return arrow_map(df.select(key, text), rows, arrow_schema(DIGEST), DIGEST, gather=GATHER)

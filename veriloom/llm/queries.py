@@ -43,7 +43,7 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.bpe_digest(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return bpe.bpe_digest(table(spark, sf_dir, "documents"), path)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
