@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm import bpe, chat, langid, media, packing, quality
+from veriloom.llm import ann, bpe, chat, html, langid, media, packing, quality
 from veriloom.llm.common import fold, table
 
 
@@ -30,6 +30,15 @@ def op4_language_id(spark: SparkSession, sf_dir: str, vocabulary: str | None = N
     return predicted.withColumn("held_out", fold("doc_id", langid.LEARN_MODULUS) == langid.HELD_OUT)
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = ann.valid(table(spark, sf_dir, "embeddings"))
+    return ann.search(ann.index(vectors), vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.lit("\\### Assistant: </turn> ok")
     extra = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.to_json(F.struct(said.alias("prompt"), said.alias("response"))).alias("record"))
@@ -47,7 +56,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op4_language_id, op6_chat_formatting, op7_media_columns, op9_bpe)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_html_extraction, op4_language_id, op5_nearest_neighbours, op6_chat_formatting, op7_media_columns, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
