@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm import ann, bpe, chat, html, langid, media, packing, quality
+from veriloom.llm import ann, bpe, chat, html, langid, media, minhash, packing, quality
 from veriloom.llm.common import fold, table
 
 
@@ -50,13 +50,17 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(media.media_columns(table(spark, sf_dir, "documents")))
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), path)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_html_extraction, op4_language_id, op5_nearest_neighbours, op6_chat_formatting, op7_media_columns, op9_bpe)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_html_extraction, op4_language_id, op5_nearest_neighbours, op6_chat_formatting, op7_media_columns, op8_minhash_dedup, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
