@@ -15,7 +15,7 @@ LEAST coordinates is about as small.
 
 Defined results: words are runs of bytes other than ASCII white space, after lower-casing A-Z; fewer
 words than five are one shingle; null and empty texts have an empty set and no links; rows of one id
-are one document for links and each gets a row; empty tables give no rows; other columns are not
+are one document for links and each gets a row; a null id is linked with nothing but equal sets; empty tables give no rows; other columns are not
 looked at. Memory: a batch of texts, or the pairs of one hub a few at a time.
 """
 
@@ -266,7 +266,7 @@ def _labelled(rows: DataFrame, equal: DataFrame, labels: DataFrame) -> DataFrame
     several = equal.where("n > 1").select("set_key", "node")
     out = rows.select("doc_id", "n_shingles", "set_key").join(several, "set_key", "left").withColumn("class_id", F.coalesce("node", "doc_id")).drop("node")
     out = out.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component_id", F.coalesce("component", "class_id"))
-    return out.select("doc_id", "n_shingles", "class_id", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return out.select("doc_id", "n_shingles", "class_id", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
 assert sys.byteorder == "little"  # sets are compared as bytes written by the same kind of machine

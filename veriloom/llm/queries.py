@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm import ann, bpe, chat, html, langid, media, minhash, packing, quality
+from veriloom.llm import ann, bpe, chat, html, langid, media, minhash, packing, quality, suffix
 from veriloom.llm.common import fold, table
 
 
@@ -59,8 +59,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), path)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeats_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_html_extraction, op4_language_id, op5_nearest_neighbours, op6_chat_formatting, op7_media_columns, op8_minhash_dedup, op9_bpe)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_html_extraction, op4_language_id, op5_nearest_neighbours, op6_chat_formatting, op7_media_columns, op8_minhash_dedup, op9_bpe, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
