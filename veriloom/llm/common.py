@@ -22,19 +22,31 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder named in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; one of our own only where the session names none (tests, local mode)."""
+    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "veriloom-checkpoint")
+
 
-    A folder of our own is set only where the session names none (tests, local mode).
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "veriloom-checkpoint")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def keep_rows(df: DataFrame, text: str, good: Callable[[list[str | None]], list[bool]], gather: int = 0) -> DataFrame:
+    """Rows of df, all columns, whose texts are good."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in gathered(batches, gather) if gather else batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(good(batch.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def gathered(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Joins batches until they hold so many bytes, so what a batch's texts share is worked out once."""
     held, size = [], 0

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriloom.llm.bpe import GATHER
-from veriloom.llm.common import arrow_map, arrow_schema, fold, small_batches
+from veriloom.llm.common import arrow_map, arrow_schema, fold, keep_rows, small_batches
 
 #: Texts of each language that are learnt from, at most, and rounds of learning.
 SAMPLE, ROUNDS = 400, 3
@@ -249,3 +249,17 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
         return {"doc_id": ids, "lang_pred": [g for g, _ in found], "score": [s for _, s in found]}
 
     return arrow_map(docs.select(key, text), rows, arrow_schema(PREDICTED), PREDICTED, gather=GATHER)
+
+
+def keep(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
+    """Rows whose language is known with at least this score."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    held: list[Scorer] = []
+
+    def good(texts):
+        if not held:
+            held.append(Scorer(shared.value))
+        return [g != UND and s >= least for g, s in held[0].predict(texts)]
+
+    return keep_rows(docs, text, good, GATHER)

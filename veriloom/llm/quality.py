@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import arrow_map, arrow_schema, fold, small_batches
+from veriloom.llm.common import arrow_map, arrow_schema, fold, keep_rows, small_batches
 
 #: Labelled rows of each kind that are learnt from, at most; half for the dictionary, half for the curve.
 SAMPLE = 1200
@@ -133,3 +133,16 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         return {"doc_id": ids, "score": s.tolist(), "predicted": (s >= 0.5).astype(int).tolist()}
 
     return arrow_map(docs.select(key, text), rows, arrow_schema(SCORED), SCORED)
+
+
+def keep(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
+    """Rows of at least this score."""
+    small_batches(docs.sparkSession)
+    held: list = []
+
+    def good(texts):
+        if not held:
+            held.extend(model.compressors())
+        return (model.scores(measured([t or "" for t in texts], held)) >= least).tolist()
+
+    return keep_rows(docs, text, good)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,8 +65,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_html_extraction, op4_language_id, op5_nearest_neighbours, op6_chat_formatting, op7_media_columns, op8_minhash_dedup, op9_bpe, op10_suffix_dedup)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_html_extraction, op4_language_id, op5_nearest_neighbours, op6_chat_formatting, op7_media_columns, op8_minhash_dedup, op9_bpe, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
