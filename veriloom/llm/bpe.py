@@ -19,12 +19,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import sys
 from array import array
 from collections.abc import Iterable
 
 import numpy as np
 import regex
+import tokenizers
 from pyspark.sql import DataFrame
 
 from veriloom.llm.common import arrow_map, arrow_schema, small_batches
@@ -40,6 +42,9 @@ PAIRS = 400_000
 #: Fixed value: the public word pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Characters outside ranges whose letters and numerals all Unicode versions in use agree on: texts that have one are cut by the tokenizers library.
+UNSURE = re.compile("[^\x00-\u052f\u2000-\u206f\u20a0-\u20bf\u3000-\u3029\u3040-\u30ff\u4e00-\u9fa5\uac00-\ud7a3\U0001f300-\U0001f9ff]")
+
 
 def printable_bytes() -> dict[str, int]:
     """The characters that stand for bytes in byte-level vocabularies: visible Latin-1 as itself, the rest from 256 on."""
@@ -69,6 +74,8 @@ class Encoder:
         self.longest = max(map(len, self.ends))
         self.stable: dict[tuple[int, int], bool] = {}
         self.words = regex.compile(PATTERN)
+        self.cutter = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False)
+        self.letters = letters
         self.between = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known: dict[str, bytes] = {}
         self.coded: dict[str, bytes] = {}
@@ -127,6 +134,11 @@ class Encoder:
             out[word] = back[::-1]
         return out
 
+    def split(self, text: str) -> list[str]:
+        if text.isascii() or not UNSURE.search(text):
+            return self.words.findall(text)
+        return [bytes(map(self.letters.__getitem__, w)).decode("utf-8", "surrogateescape") for w, _ in self.cutter.pre_tokenize_str(text)]
+
     def _learn(self, pieces: dict[str, list[str]], cache: dict[str, bytes]) -> None:
         if len(self.coded) > WORDS:
             self.coded.clear()
@@ -151,7 +163,7 @@ class Encoder:
         for t in texts:
             # one separator between any two runs of visible characters, and each a space or a line feed
             runs = t.split()
-            even = runs and len(runs) == t.count(" ") + t.count("\n") + 1 == len(t) - sum(map(len, runs)) + 1
+            even = runs and (t.isascii() or not UNSURE.search(t)) and len(runs) == t.count(" ") + t.count("\n") + 1 == len(t) - sum(map(len, runs)) + 1
             cut.append(t.replace("\n", " \n").split(" ") if even else None)
         missing: set[str] = set()
         for pieces in cut:
@@ -161,7 +173,7 @@ class Encoder:
         if missing:
             self.learn(missing)
         heads = {p[0] if p else t for p, t in zip(cut, texts, strict=True)}
-        whole = {h: self.words.findall(h) for h in heads if h not in self.first}
+        whole = {h: self.split(h) for h in heads if h not in self.first}
         self._learn(whole, self.first)
         known, first = self.known, self.first
         out = [first[p[0]] + b"".join([known[x] for x in p[1:]]) if p else first[t] for p, t in zip(cut, texts, strict=True)]

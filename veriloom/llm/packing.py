@@ -27,7 +27,7 @@ import tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriloom.llm.bpe import GATHER, printable_bytes
+from veriloom.llm.bpe import GATHER, UNSURE, printable_bytes
 from veriloom.llm.common import arrow_map, arrow_schema, checkpointed, small_batches
 
 CAPACITY, END = 2048, 0
@@ -64,8 +64,8 @@ class WordIds:
             self.coded.clear()
         cut = []
         for t in texts:
-            if any(s in t for s in self.special) or any(c in t for c in "\x1c\x1d\x1e\x1f"):
-                cut.append(None)  # special tokens, and controls that Python alone takes for white space
+            if any(s in t for s in self.special) or any(c in t for c in "\x1c\x1d\x1e\x1f") or not t.isascii() and UNSURE.search(t):
+                cut.append(None)  # special tokens, controls that Python alone takes for white space, and letters of some Unicode versions only
                 continue
             if not t.isascii():
                 t = unicodedata.normalize("NFC", t).replace("Σ", "σ")  # the library lower-cases letter by letter
