@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veriloom.functions.columns import char_span, cosine, rounded, sentences, token_count, words
 from veriloom.operators import context, decompose, retrieval
+from veriloom.plans import pipelines
 from veriloom.plans.registry import Tables, query
 
 # Queries are the vectors whose id is a multiple of 50; every vector of the same label is a fact.
@@ -310,3 +311,47 @@ def centroid_cosine(t: Tables) -> DataFrame:
 @query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS BIGINT) AS n_tokens FROM documents")
 def token_counts(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", token_count("text").alias("n_tokens"))
+
+
+# ------------------------------------------------------------------ whole runs
+
+
+@query("SELECT doc_id, lang FROM documents WHERE source = 'src3' ORDER BY doc_id LIMIT 5 OFFSET 2")
+def scroll_page(t: Tables) -> DataFrame:
+    """A page of a filtered scan, as the scroll operator gives it."""
+    return pipelines.scroll(t.documents.select("doc_id", "lang", "source"), F.col("source") == "src3", "doc_id", 5, 2).select("doc_id", "lang")
+
+
+@query("SELECT lang, count(*) AS n FROM documents WHERE contains(text, 'License') GROUP BY 1")
+def filtered_counts(t: Tables) -> DataFrame:
+    return pipelines.scroll(t.documents, F.col("text").contains("License")).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id, coalesce(strftime(ts, '%Y-%m-%d'), 'Unknown') || ' ' || coalesce(strftime(ts, '%H:%M:%S'), 'Unknown') || ', ' || event_type || ': ' || props AS line FROM events")
+def note_headers(t: Tables) -> DataFrame:
+    part = lambda f: F.coalesce(F.date_format("ts", f), F.lit("Unknown"))
+    return t.events.select("event_id", F.concat(part("yyyy-MM-dd"), F.lit(" "), part("HH:mm:ss"), F.lit(", "), "event_type", F.lit(": "), "props").alias("line"))
+
+
+@query(None)
+def ingest_nodes(t: Tables) -> DataFrame:
+    return pipelines.build_nodes(t.documents, "doc_id", "text").drop("dense", "sparse")
+
+
+@query(None)
+def evaluation_grid(t: Tables) -> DataFrame:
+    facts = decompose.embed(t.documents.select("doc_id", "lang", "text"), "text").select(F.col("doc_id").alias("node_id"), F.col("dense").alias("v"), "text", F.lit(0).alias("scope"), F.col("lang").alias("category"), F.lit("document").alias("description"))
+    asked = decompose.embed(t.benchmark, "text").select(F.col("item_id").alias("query_id"), F.col("dense").alias("q"), F.col("text").alias("query"), F.lit(0).alias("scope"))
+    return pipelines.reports(pipelines.evaluate(asked, facts, ["dense", "hybrid"], [3, 5], ["score"], ["scope"]))
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_window_counts(t: Tables) -> DataFrame:
+    """The windowed counts of the event table read as a stream until it is drained."""
+    from veriloom.streaming.ingest import drained, stream_files, windowed_counts
+
+    # a watermark needs instants: the table's local times are read as UTC, and windows written as they were
+    instants = F.expr("cast(convert_timezone('UTC', current_timezone(), cast(ts AS timestamp_ntz)) AS timestamp)")
+    events = stream_files(t.spark, t.folder, t.events.schema, "events.parquet").withColumn("ts", instants)
+    local = F.expr("convert_timezone(current_timezone(), 'UTC', cast(start AS timestamp_ntz))")
+    return drained(windowed_counts(events).withColumn("start", local))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,3 +40,13 @@ def windowed_counts(events: DataFrame, at: str = "ts", kind: str = "event_type",
     if events.isStreaming:
         events = events.withWatermark(at, late)
     return events.groupBy(F.window(at, length).alias("w"), kind).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), kind, "n")
+
+
+def drained(stream: DataFrame) -> DataFrame:
+    """The complete result of a streaming aggregate once its source is drained, through the shared folder of the session."""
+    spark = stream.sparkSession
+    folder = os.path.join(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "veriloom-stream"), f"stream-{uuid.uuid4().hex}")
+    save = lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/rows")
+    query = stream.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{folder}/rows")
