@@ -183,16 +183,10 @@ FOUND = "query_id long, vec_id long, score double"
 def search(shards: DataFrame, queries: DataFrame, neighbours: int = 20, beam: int = BEAM, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id and score. queries: rows of valid(); every query against every shard of its length, in blocks."""
     shards = checkpointed(shards)
-    known = shards.select("dim", "shard").collect()  # a row a shard
     n = queries.count()
     blocks = max(1, -(-n // block))
-    of = {}
-    for r in known:
-        of.setdefault(r["dim"], []).append(r["shard"])
-    places = F.array().cast("array<int>")
-    for dim, found in of.items():
-        places = F.when(F.size("v") == dim, F.array(*map(F.lit, sorted(found)))).otherwise(places)
-    dealt = queries.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(places).alias("shard"))
+    asked_of = queries.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+    dealt = asked_of.join(shards.select("dim", (F.col("shard") + 0).alias("shard")), "dim")  # an expression, so that the cogroup tells its two sides apart
     held = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def look(shard: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
