@@ -7,8 +7,10 @@ k places, gives coordinate k. Bands of coordinates are hashed to buckets.
 Documents with equal sets are one class, named by its least id. In each bucket every class is
 paired with the least (pairs as many as members, not their square); signatures that agree far
 too little are let go, the rest is confirmed on the full sets, and links make components. Only
-buckets whose members still lie in several components are looked at again, in blocks of
-signatures, for the pairs across components; these are confirmed likewise. So no pair that shares
+buckets whose members still lie in several components are looked at again, in blocks, each pair in
+the first bucket it shares: members with a partner in another component whose signature agrees enough
+come together once more with their sets, and what links components is confirmed on the spot, so only
+the links travel on. So no pair that shares
 a bucket is lost unless its ends are already connected. The chance that a pair at the threshold
 shares no bucket is (1 - t**ROWS)**BANDS, below 1e-5, and that its signatures agree in fewer than
 LEAST coordinates is about as small.
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -192,42 +194,86 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return arrow_map(rows, exact, arrow_schema(ddl), ddl)
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs across components within a bucket whose signatures agree enough, block by block. members: band, node, component, n_shingles, signature."""
+def _dealt(members: DataFrame) -> DataFrame:
+    """Members of buckets dealt out by pairs of blocks of BLOCK members, sorted so that each pair of blocks comes in one run."""
     place = Window.partitionBy("band").orderBy("node")
     blocks = members.withColumn("block", ((F.row_number().over(place) - 1) / BLOCK).cast("int")).withColumn("n", ((F.count(F.lit(1)).over(Window.partitionBy("band")) - 1) / BLOCK).cast("int"))
-    dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), "n"))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    dealt = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "block", "node")
-    schema = arrow_schema("a long, b long")
-
-    def pairs(group: list[tuple]) -> pa.RecordBatch:
-        node, comp, size, block = (np.array([g[k] for g in group], np.int64) for k in (3, 4, 5, 7))
-        sig = np.frombuffer(b"".join(g[6] for g in group), np.uint8).reshape(-1, LENGTH)
-        a, b = [], []
-        for r in range(len(group)):
-            later = slice(r + 1, None)
-            ok = (comp[later] != comp[r]) & (100 * np.minimum(size[later], size[r]) >= PERCENT * np.maximum(size[later], size[r]))
-            if group[r][1] != group[r][2]:
-                ok &= block[later] != block[r]
-            at = np.flatnonzero(ok) + r + 1
-            at = at[(sig[at] == sig[r]).sum(axis=1) >= LEAST]
-            a.append(np.minimum(node[at], node[r]))
-            b.append(np.maximum(node[at], node[r]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=schema)
+    dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), "n"))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("n", "other")
+    return dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "block", "node")
+
+
+class _Group:
+    """Members of two blocks of a bucket."""
+
+    def __init__(self, rows: list[dict]):
+        self.band, self.cross = rows[0]["band"], rows[0]["i"] != rows[0]["j"]
+        self.node, self.component, self.size, self.block = (np.array([r[k] for r in rows], np.int64) for k in ("node", "component", "n_shingles", "block"))
+        self.signature = np.frombuffer(b"".join(r["signature"] for r in rows), np.uint8).reshape(-1, LENGTH)
+        self.bands = np.array([r["bands"] for r in rows], np.int64)
+        self.sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows] if "shingles" in rows[0] else []
+
+    def worth(self, r: int) -> np.ndarray:
+        """Later members of other components that may be linked with member r, and share no earlier band with it."""
+        later = slice(r + 1, None)
+        ok = (self.component[later] != self.component[r]) & (100 * np.minimum(self.size[later], self.size[r]) >= PERCENT * np.maximum(self.size[later], self.size[r]))
+        if self.cross:
+            ok &= self.block[later] != self.block[r]
+        at = np.flatnonzero(ok) + r + 1
+        at = at[(self.signature[at] == self.signature[r]).sum(axis=1) >= LEAST]
+        here = int((self.bands[r] == self.band).argmax())
+        return at[(self.bands[at] == self.bands[r]).argmax(axis=1) == here]
+
+
+def _by_group(members: DataFrame, of: Callable[[_Group], tuple[np.ndarray, np.ndarray]], names: tuple[str, str]) -> DataFrame:
+    """Two columns of ids from each pair of blocks."""
+    ddl = ", ".join(f"{n} long" for n in names)
+    schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, key = [], None
+        rows: list[dict] = []
+
+        def done():
+            if len(rows) > 1:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in of(_Group(rows))], schema=schema)
+
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:3] != key:
-                    if len(group) > 1:
-                        yield pairs(group)
-                    group, key = [], row[:3]
-                group.append(row)
-        if len(group) > 1:
-            yield pairs(group)
+            for row in batch.to_pylist():
+                if rows and (row["band"], row["i"], row["j"]) != (rows[0]["band"], rows[0]["i"], rows[0]["j"]):
+                    yield from done()
+                    rows = []
+                rows.append(row)
+        yield from done()
+
+    return _dealt(members).mapInArrow(run, ddl)
+
+
+def _open_members(group: _Group) -> tuple[np.ndarray, np.ndarray]:
+    """(band, node) of the members that have a partner worth confirming in this bucket."""
+    some = np.zeros(len(group.node), bool)
+    for r in range(len(group.node)):
+        at = group.worth(r)
+        some[at] = True
+        some[r] |= len(at) > 0
+    return np.full(int(some.sum()), group.band), group.node[some]
+
+
+def _links(group: _Group) -> tuple[np.ndarray, np.ndarray]:
+    """Confirmed links that join components, as few as joining takes."""
+    root, a, b = {int(c): int(c) for c in group.component}, [], []
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
 
-    return dealt.select("band", "i", "j", "node", "component", "n_shingles", "signature", "block").mapInArrow(run, "a long, b long").distinct()
+    for r in range(len(group.node)):
+        for t in group.worth(r).tolist():
+            x, y = find(int(group.component[r])), find(int(group.component[t]))
+            if x != y and linked(group.sets[r], group.sets[t]):
+                root[max(x, y)] = min(x, y)
+                a.append(group.node[r])
+                b.append(group.node[t])
+    return np.array(a, np.int64), np.array(b, np.int64)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -239,7 +285,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     exploded = classes.select("node", F.explode("bands").alias("band"))
     hubs = exploded.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
     buckets = checkpointed(exploded.join(hubs, "band"))
-    light = checkpointed(classes.drop("bands").join(buckets.select("node").distinct(), "node", "left_semi"))
+    light = checkpointed(classes.join(buckets.select("node").distinct(), "node", "left_semi"))
 
     star = buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     star = checkpointed(_agree(star, light))
@@ -250,13 +296,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     placed = buckets.where("members > 2").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    members = placed.join(open_, "band", "left_semi").select("band", "node", "component").join(light.select("node", "n_shingles", "signature"), "node")
-    more = checkpointed(_across(members).join(star, ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        lacking = more.select(F.col("a").alias("node")).union(more.select(F.col("b").alias("node"))).distinct().join(sets, "node", "left_anti")
+    members = placed.join(open_, "band", "left_semi").select("band", "node", "component").join(light.select("node", "n_shingles", "signature", "bands"), "node")
+    left = checkpointed(_by_group(members, _open_members, ("band", "node")).distinct())
+    if left.limit(1).count():
+        lacking = left.select("node").distinct().join(sets, "node", "left_anti")
         if lacking.limit(1).count():
             sets = sets.unionByName(_sets(docs, light.join(lacking, "node", "left_semi"), key, text))
-        found = checkpointed(_confirmed(more, sets))
+        found = checkpointed(_by_group(members.join(left, ["band", "node"], "left_semi").join(sets, "node"), _links, ("a", "b")))
         if found.limit(1).count():
             labels = components(links.unionByName(found))
     return _labelled(rows, equal, labels)
