@@ -35,6 +35,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compact(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """A checkpointed frame in no more partitions than its rows need, so that small ones don't write many small shuffle files."""
+    return df.coalesce(max(1, -(-df.count() // rows)))
+
+
 def keep_rows(df: DataFrame, text: str, good: Callable[[list[str | None]], list[bool]], gather: int = 0) -> DataFrame:
     """Rows of df, all columns, whose texts are good."""
     at = df.columns.index(text)

@@ -34,7 +34,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import arrow_map, arrow_schema, checkpointed, small_batches
+from veriloom.llm.common import arrow_map, arrow_schema, checkpointed, compact, small_batches
 from veriloom.llm.components import components
 
 WORDS, PERCENT = 5, 75
@@ -194,12 +194,13 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return arrow_map(rows, exact, arrow_schema(ddl), ddl)
 
 
-def _dealt(members: DataFrame) -> DataFrame:
-    """Members of buckets dealt out by pairs of blocks of BLOCK members, sorted so that each pair of blocks comes in one run."""
+def _dealt(members: DataFrame, payload: DataFrame) -> DataFrame:
+    """Members of buckets (band, node, component) dealt out by pairs of blocks of BLOCK members, with what payload has of
+    each node, sorted so that each pair of blocks comes in one run. Places are found before the payload joins."""
     place = Window.partitionBy("band").orderBy("node")
     blocks = members.withColumn("block", ((F.row_number().over(place) - 1) / BLOCK).cast("int")).withColumn("n", ((F.count(F.lit(1)).over(Window.partitionBy("band")) - 1) / BLOCK).cast("int"))
     dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), "n"))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("n", "other")
-    return dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "block", "node")
+    return dealt.join(payload, "node").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "block", "node")
 
 
 class _Group:
@@ -209,7 +210,7 @@ class _Group:
         self.band, self.cross = rows[0]["band"], rows[0]["i"] != rows[0]["j"]
         self.node, self.component, self.size, self.block = (np.array([r[k] for r in rows], np.int64) for k in ("node", "component", "n_shingles", "block"))
         self.signature = np.frombuffer(b"".join(r["signature"] for r in rows), np.uint8).reshape(-1, LENGTH)
-        self.bands = np.array([r["bands"] for r in rows], np.int64)
+        self.bands = np.array([r["bands"] for r in rows], np.int64)  # upper halves: enough to tell a band's hashes apart
         self.sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows] if "shingles" in rows[0] else []
 
     def worth(self, r: int) -> np.ndarray:
@@ -220,11 +221,11 @@ class _Group:
             ok &= self.block[later] != self.block[r]
         at = np.flatnonzero(ok) + r + 1
         at = at[(self.signature[at] == self.signature[r]).sum(axis=1) >= LEAST]
-        here = int((self.bands[r] == self.band).argmax())
+        here = int((self.bands[r] == self.band >> 32).argmax())
         return at[(self.bands[at] == self.bands[r]).argmax(axis=1) == here]
 
 
-def _by_group(members: DataFrame, of: Callable[[_Group], tuple[np.ndarray, np.ndarray]], names: tuple[str, str]) -> DataFrame:
+def _by_group(members: DataFrame, payload: DataFrame, of: Callable[[_Group], tuple[np.ndarray, np.ndarray]], names: tuple[str, str]) -> DataFrame:
     """Two columns of ids from each pair of blocks."""
     ddl = ", ".join(f"{n} long" for n in names)
     schema = arrow_schema(ddl)
@@ -244,7 +245,7 @@ def _by_group(members: DataFrame, of: Callable[[_Group], tuple[np.ndarray, np.nd
                 rows.append(row)
         yield from done()
 
-    return _dealt(members).mapInArrow(run, ddl)
+    return _dealt(members, payload).mapInArrow(run, ddl)
 
 
 def _open_members(group: _Group) -> tuple[np.ndarray, np.ndarray]:
@@ -288,21 +289,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     light = checkpointed(classes.join(buckets.select("node").distinct(), "node", "left_semi"))
 
     star = buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    star = checkpointed(_agree(star, light))
+    star = compact(checkpointed(_agree(star, light)))
     named = star.select(F.col("a").alias("node")).union(star.select(F.col("b").alias("node"))).distinct()
     sets = _sets(docs, light.join(named, "node", "left_semi"), key, text)
-    links = checkpointed(_confirmed(star, sets))
+    links = compact(checkpointed(_confirmed(star, sets)))
     labels = components(links)
 
     placed = buckets.where("members > 2").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    members = placed.join(open_, "band", "left_semi").select("band", "node", "component").join(light.select("node", "n_shingles", "signature", "bands"), "node")
-    left = checkpointed(_by_group(members, _open_members, ("band", "node")).distinct())
+    members = placed.join(open_, "band", "left_semi").select("band", "node", "component")
+    payload = light.select("node", "n_shingles", "signature", F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("bands"))
+    left = compact(checkpointed(_by_group(members, payload, _open_members, ("band", "node")).distinct()))
     if left.limit(1).count():
         lacking = left.select("node").distinct().join(sets, "node", "left_anti")
         if lacking.limit(1).count():
             sets = sets.unionByName(_sets(docs, light.join(lacking, "node", "left_semi"), key, text))
-        found = checkpointed(_by_group(members.join(left, ["band", "node"], "left_semi").join(sets, "node"), _links, ("a", "b")))
+        found = checkpointed(_by_group(members.join(left, ["band", "node"], "left_semi"), payload.join(sets, "node"), _links, ("a", "b")))
         if found.limit(1).count():
             labels = components(links.unionByName(found))
     return _labelled(rows, equal, labels)
