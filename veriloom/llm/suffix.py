@@ -30,9 +30,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veriloom.llm.common import arrow_map, arrow_schema, checkpointed, gathered, small_batches
 
@@ -286,11 +288,27 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in range(4)], schema=schema)
 
 
+def squeezed(df: DataFrame, text: str) -> DataFrame:
+    """df with a text column as zstandard frames of its bytes: whole texts cross the network twice, so they cross it small."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            frames = pa.array([None if t is None else squeeze.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(at).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([frames if k == at else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    return df.mapInArrow(run, T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == text else f for f in df.schema]))
+
+
+_EXPAND = zstandard.ZstdDecompressor()
+
+
 def _cut(batch: pa.RecordBatch) -> dict[str, list]:
     """Fragments of a text in two, by the 66 bytes from the anchor on and those up to its end: (key, doc, first, bytes)."""
     out = {"key": [], "doc": [], "first": [], "raw": []}
-    for doc, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-        raw = text.encode("utf-8", "surrogatepass")
+    for doc, frame, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        raw = _EXPAND.decompress(frame)
         for f in found:
             first = f >> 16
             last, at = first + (f >> 8 & 255), first + (f & 255)
@@ -360,9 +378,9 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield spans(ready)
 
 
-def _cleaned(text: str, found: list[dict] | None) -> tuple[int, int, bytes]:
-    """Bytes of the text, maximal removed runs, and the bytes left."""
-    raw = text.encode("utf-8", "surrogatepass")
+def _cleaned(frame: bytes | None, found: list[dict] | None) -> tuple[int, int, bytes]:
+    """Bytes of the squeezed text, maximal removed runs, and the bytes left."""
+    raw = _EXPAND.decompress(frame) if frame else b""
     first, last = (np.minimum(np.array([f[k] for f in found or ()], np.int64), len(raw)) for k in ("first", "last"))
     some = first < last
     _, start, end = merged_spans(np.zeros(int(some.sum()), np.int64), first[some], last[some])
@@ -378,7 +396,7 @@ def _spans(rows: DataFrame) -> DataFrame:
     met = checkpointed(seen.repartition("anchor").sortWithinPartitions("anchor", "content", "doc", "place").mapInArrow(_met, SEEN))
     listed = met.where("place >= 0").groupBy("doc").agg(F.collect_list("place").alias("found"))
     ddl = "key long, doc long, first long, raw binary"
-    parts = arrow_map(long.join(listed, "doc").select("doc", "text", "found"), _cut, arrow_schema(ddl), ddl)
+    parts = arrow_map(squeezed(long, "text").join(listed, "doc").select("doc", "text", "found"), _cut, arrow_schema(ddl), ddl)
     out = checkpointed(parts.repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_out, STRINGS))
     spans = met.where("place < 0").select("doc", (-1 - F.col("place")).alias("first"), F.col("content").alias("last")).union(out.where(F.col("kind") == SPAN).select("doc", "first", "last"))
     strings = out.where(F.col("kind") == STRING)
@@ -396,7 +414,7 @@ def _with_spans(docs: DataFrame, key: str, text: str) -> DataFrame:
     least = F.lit(-(1 << 63) + 1).cast("long")
     doc, full = F.coalesce(F.col(key).cast("long"), least), F.coalesce(F.col(text), F.lit(""))
     spans = _spans(docs.select(doc.alias("doc"), full.alias("text"))).groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("__found"))
-    return docs.withColumn("__doc", doc).join(spans.withColumnRenamed("doc", "__doc"), "__doc", "left").drop("__doc")
+    return squeezed(docs.withColumn("__doc", doc), text).join(spans.withColumnRenamed("doc", "__doc"), "__doc", "left").drop("__doc")
 
 
 def repeats_digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -405,7 +423,7 @@ def repeats_digest(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     def rows(batch):
         out = {c.split()[0]: [] for c in RESULT.split(", ")}
         for doc, t, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            size, runs, left = _cleaned(t or "", found)
+            size, runs, left = _cleaned(t, found)
             for k, v in zip(out, (doc, size, size - len(left), runs, hashlib.sha256(left).hexdigest()), strict=True):
                 out[k].append(v)
         return out
@@ -422,8 +440,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         for batch in batches:
             i = names.index(text)
             pairs = zip(batch.column(i).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)
-            left = [t if t is None or not found else _cleaned(t, found)[2].decode("utf-8", "ignore") for t, found in pairs]
-            columns = [pa.array(left, batch.schema.field(i).type) if k == i else batch.column(k) for k in range(len(names))]
+            left = [None if t is None else _cleaned(t, found)[2].decode("utf-8", "ignore") for t, found in pairs]
+            columns = [pa.array(left, pa.string()) if k == i else batch.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return joined.mapInArrow(run, docs.schema)
