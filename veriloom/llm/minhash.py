@@ -42,7 +42,7 @@ WORDS, PERCENT = 5, 75
 BANDS, ROWS, UNIVERSE = 32, 4, 1 << 20
 LENGTH = BANDS * ROWS
 LEAST = int(LENGTH * (PERCENT / 100) - 5.5 * (LENGTH * 0.75 * 0.25) ** 0.5)
-BLOCK, CACHE = 512, 500_000
+BLOCK, CACHE = 1024, 500_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -259,7 +259,7 @@ def _open_members(group: _Group) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _links(group: _Group) -> tuple[np.ndarray, np.ndarray]:
-    """Confirmed links that join components, as few as joining takes."""
+    """Pairs of components that confirmed links join, as few as joining takes."""
     root, a, b = {int(c): int(c) for c in group.component}, [], []
 
     def find(c: int) -> int:
@@ -272,8 +272,8 @@ def _links(group: _Group) -> tuple[np.ndarray, np.ndarray]:
             x, y = find(int(group.component[r])), find(int(group.component[t]))
             if x != y and linked(group.sets[r], group.sets[t]):
                 root[max(x, y)] = min(x, y)
-                a.append(group.node[r])
-                b.append(group.node[t])
+                a.append(group.component[r])
+                b.append(group.component[t])
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
@@ -306,10 +306,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             sets = sets.unionByName(_sets(docs, light.join(lacking, "node", "left_semi"), key, text))
         found = checkpointed(_by_group(members.join(left, ["band", "node"], "left_semi"), payload.join(sets, "node"), _links, ("a", "b")))
         if found.limit(1).count():
-            labels = components(links.unionByName(found))
+            labels = _joined(labels, components(found))
     return _labelled(rows, equal, labels)
 
 
+def _joined(labels: DataFrame, above: DataFrame) -> DataFrame:
+    """Labels after components were joined; above: components (node) and what they became. A component of one node has no label yet."""
+    alone = above.join(labels, "node", "left_anti").select("node", F.col("node").alias("component"))
+    became = above.select(F.col("node").alias("component"), F.col("component").alias("became"))
+    return labels.unionByName(alone).join(became, "component", "left").select("node", F.coalesce("became", "component").alias("component"))
+
+
 def _labelled(rows: DataFrame, equal: DataFrame, labels: DataFrame) -> DataFrame:
     several = equal.where("n > 1").select("set_key", "node")
     out = rows.select("doc_id", "n_shingles", "set_key").join(several, "set_key", "left").withColumn("class_id", F.coalesce("node", "doc_id")).drop("node")
