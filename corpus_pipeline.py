@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 of documents, and what one stage drops or cuts the next never sees.
 
 1. language ID drops texts without a letter or without a likely language (posterior below LEAST_LANGUAGE);
-2. the quality classifier, learnt from labels, drops texts scored below LEAST_QUALITY;
+2. the quality classifier, learnt from labels, drops the texts it decides are bad (scored below quality.DECISION);
 3. MinHash keeps one document, the least id, of each group of near copies;
 4. suffix sorting cuts out every passage of 100 bytes or more that also starts earlier;
 5. best-fit packing turns what is left into sequences of at most 2048 tokens.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from veriloom.llm import langid, minhash, packing, quality, suffix
 from veriloom.llm.common import shared_folder, table
 
-LEAST_LANGUAGE, LEAST_QUALITY = 0.5, 0.1
+LEAST_LANGUAGE = 0.5
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.keep(docs, quality.train(docs, table(spark, sf_dir, "labels")), LEAST_QUALITY)
+    return quality.keep(docs, quality.train(docs, table(spark, sf_dir, "labels")), quality.DECISION)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,3 +35,18 @@ def test_stages_take_effect(spark, tmp_path):
     assert passage in left[310] and all(passage not in left[i] for i in (311, 312, 313))
     final = corpus_pipeline.run(spark, folder)
     assert final.count() >= len(seen[3]) and {r["doc_id"] for r in final.collect()} == seen[3]
+
+
+def test_quality_stage_follows_the_classifier(spark, tmp_path):
+    from veriloom.llm import quality
+
+    rng = random.Random(11)
+    mixed = lambda share: " ".join(rng.choice(EN) + ("%%%" if rng.random() < share else "") for _ in range(60))
+    texts = [mixed(0) for _ in range(120)] + [mixed(1) for _ in range(120)] + [mixed(i / 100) for i in range(100)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    labels = spark.createDataFrame([(i, int(i < 120)) for i in range(240)], "doc_id long, quality int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    scored = quality.score(docs, quality.train(docs, labels)).collect()
+    assert any(0.1 <= r["score"] < 0.5 for r in scored)
+    kept = {r["doc_id"] for r in corpus_pipeline.quality_stage(spark, docs, str(tmp_path)).collect()}
+    assert kept == {r["doc_id"] for r in scored if r["predicted"] == 1}

@@ -29,6 +29,8 @@ from veriloom.llm.common import arrow_map, arrow_schema, fold, keep_rows, small_
 SAMPLE = 1200
 DICTIONARY_BYTES, LEVEL, PART = 65_536, 3, 2_000
 LEARN_MODULUS, HELD_OUT = 3, 1
+#: Least score of a text that the classifier takes for good.
+DECISION = 0.5
 
 
 @dataclass
@@ -130,7 +132,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             held.extend(model.compressors())
         ids, texts = (c.to_pylist() for c in batch.columns)
         s = model.scores(measured([t or "" for t in texts], held))
-        return {"doc_id": ids, "score": s.tolist(), "predicted": (s >= 0.5).astype(int).tolist()}
+        return {"doc_id": ids, "score": s.tolist(), "predicted": (s >= DECISION).astype(int).tolist()}
 
     return arrow_map(docs.select(key, text), rows, arrow_schema(SCORED), SCORED)
 
