@@ -9,8 +9,8 @@ of documents, and what one stage drops or cuts the next never sees.
 4. suffix sorting cuts out every passage of 100 bytes or more that also starts earlier;
 5. best-fit packing turns what is left into sequences of at most 2048 tokens.
 
-Null and empty texts go in stage 1; rows of one id are one document from stage 3 on; an empty table
-gives no rows; extra columns are kept up to stage 4.
+Null and empty texts go in stage 1; rows that share an id or have none are documents of their own, those
+of one id in a fixed order and those of none last; an empty table gives no rows; extra columns are kept up to stage 4.
 """
 
 from __future__ import annotations
@@ -23,9 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriloom.llm import langid, minhash, packing, quality, suffix
-from veriloom.llm.common import shared_folder, table
+from veriloom.llm.common import checkpointed, shared_folder, table
 
 LEAST_LANGUAGE = 0.5
+ROW = "__row"
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,13 +38,24 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep(docs, quality.train(docs, table(spark, sf_dir, "labels")), quality.DECISION)
 
 
+def told_apart(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs and a column that no two rows share: doc_id, or, where ids are null or come twice, numbers in order of id and content."""
+    if not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").limit(1).count():
+        return docs, "doc_id"
+    rest = F.to_json(F.struct(*(c for c in docs.columns if c not in ("doc_id", "text"))))
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.xxhash64(rest))
+    return checkpointed(ordered.withColumn(ROW, F.monotonically_increasing_id())), ROW
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    rows, key = told_apart(docs)
+    kept = minhash.near_duplicates(rows, key).where("kept").select(F.col("doc_id").alias("kept_id"))
+    return rows.join(kept, rows[key] == kept["kept_id"], "left_semi").drop(ROW)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffix.without_repeats(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    rows, key = told_apart(docs)
+    return suffix.without_repeats(rows, key).drop(ROW).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

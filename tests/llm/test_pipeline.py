@@ -50,3 +50,23 @@ def test_quality_stage_follows_the_classifier(spark, tmp_path):
     assert any(0.1 <= r["score"] < 0.5 for r in scored)
     kept = {r["doc_id"] for r in corpus_pipeline.quality_stage(spark, docs, str(tmp_path)).collect()}
     assert kept == {r["doc_id"] for r in scored if r["predicted"] == 1}
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_rows_of_one_id_or_none_are_documents(spark, parts):
+    said = lambda seed, n=80: " ".join(random.Random(seed).choices(EN, k=n))
+    rows = [(0, said(2) + " more"), (1, said(1)), (1, said(2)), (1, said(1)), (None, said(3)), (None, said(4)), (None, said(5)), (7, said(5) + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS).repartition(parts)
+    out = corpus_pipeline.near_dedup_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else 99, r["text"]) for r in out.collect()) == sorted([(0, rows[0][1]), (1, said(1)), (99, said(3)), (99, said(4)), (7, rows[7][1])])
+
+    passage = said(6, 60)
+    rows = [(i, f"{said(10 + k, 40)} {passage} {said(20 + k, 40)}") for k, i in enumerate((3, 3, None, None))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS).repartition(parts)
+    out = corpus_pipeline.repeats_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    left = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert [i for i, t in left if passage in t] == [3]
+    for k, (i, _) in enumerate(rows):
+        assert sum(j == i and t.startswith(said(10 + k, 40)[:-5]) and t.endswith(said(20 + k, 40)[5:]) for j, t in left) == 1
