@@ -1,5 +1,6 @@
 import hashlib
 import json
+import math
 import struct
 import zlib
 
@@ -10,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from veriloom.llm import chat, media
-from veriloom.llm.html import extract, main_text
+from veriloom.llm.html import BLOCK, Page, extract, main_text
 
 LONG = "This sentence is long enough to count as the text of an article, or so one would think. " * 3
 
@@ -43,6 +44,75 @@ def test_never_crashes(source):
     assert isinstance(main_text(source), str)
 
 
+def plainly(source):
+    """Densities and sums by walking each subtree on its own, straight from the formula."""
+    p = Page(source)
+    n = len(p.tag)
+    below = [[j for j in range(n) if j == i or any(a == i for a in ancestors(p, j))] for i in range(n)]
+    block = [any(p.tag[j] in BLOCK for j in b) for b in below]
+    linked = [any(p.tag[a] == "a" for a in (i, *ancestors(p, i))) for i in range(n)]
+    size = [sum(len(" ".join(t.split())) for i, t, _ in p.texts if i == j) for j in range(n)]
+    body = p.tag.index("body") if "body" in p.tag else 0
+
+    def composite(nodes, top):
+        c, lc = sum(size[j] for j in nodes), sum(size[j] for j in nodes if linked[j])
+        t, lt = sum(j != top for j in nodes) or 1, sum(j != top and p.tag[j] == "a" for j in nodes) or 1
+        all_c, all_lc = sum(size[j] for j in below[body]), sum(size[j] for j in below[body] if linked[j])
+        if not c or not all_lc:
+            return c / t
+        base = math.log((c / (c - lc or 1)) * lc + all_lc / all_c * c + math.e)
+        return c / t * max(0.0, math.log(c / (lc or 1) * t / lt, base))
+
+    density = [composite(below[i], i) for i in range(n)]
+    gone = p.furniture()
+    sums = []
+    for i in range(n):
+        own = [j for j in below[i] if j == i or not block[j] and not any(block[a] for a in ancestors(p, j) if a > i)]
+        sums.append(composite(own, i) + sum(density[j] for j in range(n) if p.parent[j] == i and block[j] and not gone[j]) if block[i] else 0.0)
+    return density, sums
+
+
+def ancestors(p, i):
+    while p.parent[i] >= 0:
+        i = p.parent[i]
+        yield i
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<b>", "</b>", "<li>", "<ul>", "</ul>", "<nav>", "</nav>", "<a href=x>", "</a>", "<body>", "some words here", "more ", "<br>", "<div class=ad>"]), max_size=30).map("".join))
+def test_densities_and_sums_by_the_formula(source):
+    p = Page(source)
+    density, sums = plainly(source)
+    assert np.allclose(p.density, density) and np.allclose(p.sums(p.furniture()), sums)
+
+
+ONE = LONG.strip()
+WRAPPED = {
+    "a form around the article": (f"<form><article><h1>T</h1><p>{LONG}</p><p>x.</p></article></form>", ["T", ONE, "x."]),
+    "a form around all": (f"<form><p>{LONG}</p><p>{LONG}</p><input name=q><button>Go</button></form><div class=ad>Buy</div>", [ONE, ONE]),
+    "a name of other words": (f'<div class="search-result"><article><p>{LONG}</p></article></div>', [ONE]),
+    "a paragraph of another name": (f'<article><p>{LONG}</p><p class="related-work">Related.</p><section class="comment-list"><p>First! {LONG}</p></section></article>', [ONE, "Related."]),
+    "named furniture around the article": (f'<div class="widget"><article><p>{LONG}</p><p>y</p></article></div>', [ONE, "y"]),
+    "no article, with a sidebar": (f'<div id=wrap><nav><a href=x>a</a></nav><div><h2>Head</h2><p>{LONG}</p><p>{LONG}</p><p>s.</p></div><div class="sidebar">{LONG}</div></div>', ["Head", ONE, ONE, "s."]),
+    "sections": (f"<div><div><h2>H</h2><p>{LONG}</p><p>b</p></div><div><p>{LONG}</p><p>{LONG}</p><p>tiny</p></div></div><div><ul><li><a href=1>aaa</a><li><a href=2>bbb</a></ul></div>", ["H", ONE, "b", ONE, ONE, "tiny"]),
+    "menus beside text of one block": ("<div><ul>" + "".join(f"<li><a href={i}>entry {i}</a>" for i in range(20)) + f"</ul></div><div>{LONG}<br>{LONG}</div>", [f"{ONE} {ONE}"]),
+    "denser text beside an article": (f"<article><p>Short.</p></article><div><p>{LONG}</p><p>{LONG}</p></div>", [ONE, ONE]),
+    "nothing but furniture": ("<nav>only a menu</nav><footer>foot</footer>", []),
+}
+
+
+@pytest.mark.parametrize("case", WRAPPED)
+def test_density_decides(case):
+    body, blocks = WRAPPED[case]
+    assert main_text(page(body)) == "\n\n".join(blocks)
+
+
+def test_ties_and_long_pages():
+    assert main_text(page(f"<div><p>{LONG}</p></div><div><p>{LONG}</p></div>")) == "\n\n".join([ONE, ONE])
+    many = [f"Paragraph {i}. {LONG}".strip() for i in range(20_000)]
+    assert main_text(page("<article>" + "".join(f"<p>{t}" for t in many) + "</article>")) == "\n\n".join(many)
+
+
 def test_deep_nesting():
     assert main_text("<div>" * 20_000 + "deep") == "deep"
 
