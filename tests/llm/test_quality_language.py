@@ -35,7 +35,7 @@ def brute(word, model, g):
         if i == len(w):
             return 1.0
         total = 0.0
-        for n in range(1, min(langid.PIECE, len(w) - i) + 1):
+        for n in range(1, len(w) - i + 1):
             k = index.get(w[i : i + n], len(model.pieces) if n == 1 else None)
             total += 0 if k is None else model.p[k, g] * rest(i + n)
         return total
@@ -51,6 +51,49 @@ def test_forward_sums_all_segmentations(model, words):
     assert np.allclose(got, want, rtol=1e-9)
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.text("abcdehnrst語éß.x", min_size=1, max_size=12), st.integers(2, 7))
+def test_long_words_sum_all_segmentations_too(model, word, section):
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(langid, "SECTION", section)
+        got = langid.long_score(word, langid.Matcher(model.pieces), model.p)
+    assert np.allclose(got, np.log([brute(word, model, g) for g in range(len(model.langs))]), rtol=1e-9)
+
+
+def test_very_long_words_neither_underflow_nor_are_cut(model):
+    matcher = langid.Matcher(model.pieces)
+    assert max(map(len, model.pieces)) > 8
+    once = langid.long_score("abcdehnrst" * 5, matcher, model.p)
+    assert np.isfinite(langid.long_score("abcdehnrst" * 9_000, matcher, model.p)).all()
+    assert np.allclose(once, langid.word_scores(["abcdehnrst" * 5], matcher, model.p)[0], rtol=1e-9)
+    word = "der" * 40
+    assert langid.Scorer(model).predict([word, "der der", word]) [0] == langid.Scorer(model).predict([word])[0]
+
+
+def test_cache_is_bounded_by_bytes(model, monkeypatch):
+    texts = [sentence(EN, i) for i in range(6)]
+    want = langid.Scorer(model).predict(texts)
+    monkeypatch.setattr(langid, "CACHE", 1)
+    scorer = langid.Scorer(model)
+    assert [scorer.predict([t])[0] for t in texts] == want and len(scorer.row) <= len(set(texts[-1].split()))
+
+
+def test_least_hashed_sample(spark):
+    """Against a window that ranks all; a key with very many rows counts once."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from veriloom.llm.common import least_hashed, within_bytes
+
+    rows = spark.range(3000).select(F.col("id").alias("k"), F.when(F.col("id") % 7 == 0, "a").otherwise("b").alias("g"))
+    rows = rows.union(spark.range(20_000).select(F.lit(5).cast("long"), F.lit("b")))
+    ranked = rows.distinct().withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("k"), "k"))).where("r <= 50").orderBy("r").collect()
+    assert least_hashed(rows, 50) == {g: [r["k"] for r in ranked if r["g"] == g] for g in "ab"}
+    assert least_hashed(rows.limit(0), 50) == {} and len(least_hashed(rows, 10_000)["a"]) == 429
+    docs = documents(spark, [(1, "é" * 10), (2, "a" * 5), (3, None), (4, "b")])
+    assert within_bytes(docs, [1, 2, 9, 3, 4], 25, "doc_id", "text") == [1, 2, 3] and within_bytes(docs, [1, 2, 4], 6, "doc_id", "text") == [2, 4]
+
+
 def test_learning_normalises(model):
     assert model.langs == ["de", "en"]
     assert np.allclose(model.p.sum(axis=0), 1, atol=1e-4) and (model.p > 0).all()

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import sys
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +27,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where the session names none (tests, local mode)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "veriloom-checkpoint")
+    """The folder named in spark.checkpoint.dir; where the session names none, one of our own in local mode, and an error on a cluster."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+    return named or os.path.join(tempfile.gettempdir(), "veriloom-checkpoint")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -35,6 +42,77 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_TOOLS: dict[str, Any] = {}
+
+
+def tools(name: str, make: Callable[[], Any]) -> Any:
+    """What an operator keeps in a worker process from task to task. Only one operator's is kept: when the next one asks, it goes."""
+    if name not in _TOOLS:
+        if _TOOLS:
+            _TOOLS.clear()
+            gc.collect()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
+        _TOOLS[name] = make()
+    return _TOOLS[name]
+
+
+class Remembered(dict):
+    """A dict that counts the bytes of what it is told of, and forgets all in trim() once there are too many."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.bytes = most, 0
+
+    def told(self, keys: Iterable[Any], each: int = 0) -> None:
+        """New keys, with so many bytes of values each besides those in the dict."""
+        self.bytes += sum(sys.getsizeof(k) + sys.getsizeof(self[k]) + 100 + each for k in keys)
+
+    def trim(self) -> bool:
+        if self.bytes <= self.most:
+            return False
+        self.clear()
+        self.bytes = 0
+        return True
+
+
+def least_hashed(rows: DataFrame, sample: int) -> dict[Any, list[Any]]:
+    """For each group of rows (k, g) its distinct keys of least hash, at most so many, in that order.
+
+    Rows under a hash threshold that holds somewhat more than enough keys come to the driver; none is ranked in a
+    window, so a group of any size is read where it lies."""
+    counts = {r["g"]: r["n"] for r in rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
+    found: dict[Any, list[Any]] = {g: [] for g in counts}
+    open_, share = dict(counts), {g: min(1.0, (sample + 8 * sample**0.5 + 64) / n) for g, n in counts.items()}
+    while open_:
+        least = F.lit(False)
+        for g in open_:  # one term for each group
+            top = (1 << 63) - 1 if share[g] >= 1 else int(share[g] * (1 << 64)) - (1 << 63)
+            least = F.when(F.col("g") == g, F.xxhash64("k") <= F.lit(top)).otherwise(least)
+        got: dict[Any, list[Any]] = {g: [] for g in open_}
+        for r in rows.where(least).select("k", "g", F.xxhash64("k").alias("h")).distinct().collect():
+            got[r["g"]].append((r["h"], r["k"]))
+        for g, keys in got.items():
+            if len(keys) >= sample or share[g] >= 1:
+                found[g] = [k for _, k in sorted(keys)[:sample]]
+                del open_[g]
+            share[g] = min(1.0, 4 * share[g])  # keys that come in many rows: look further
+    return found
+
+
+def within_bytes(docs: DataFrame, keys: list[Any], most: int, key: str, text: str) -> list[Any]:
+    """The first of the keys whose texts have no more than so many bytes together; a text that doesn't fit is passed over."""
+    if not keys:
+        return []
+    rows = docs.where(F.col(key).isin(keys)).groupBy(F.col(key).alias("k")).agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0))).alias("n")).collect()
+    size, out = {r["k"]: r["n"] for r in rows}, []
+    for k in keys:
+        if k in size and size[k] <= most:
+            most -= size[k]
+            out.append(k)
+    return out
+
+
 def compact(df: DataFrame, rows: int = 50_000) -> DataFrame:
     """A checkpointed frame in no more partitions than its rows need, so that small ones don't write many small shuffle files."""
     return df.coalesce(max(1, -(-df.count() // rows)))

@@ -4,46 +4,50 @@ For each language there is a probability for every piece of a fixed public vocab
 probability in a language is the sum over all ways to cut it into pieces of the product of their
 probabilities, which a forward algorithm gives without listing them; a text's is the product over
 its words. The piece probabilities come from a few rounds of expectation-maximisation over the
-words of at most SAMPLE texts of each language, those of least id hash; prediction covers all.
+words of at most SAMPLE texts of each language, those of least id hash, of SAMPLE_BYTES in all
+(a text that would go beyond is passed over; words of more than LONGEST characters are cut into
+parts of that length, for learning only); prediction covers all texts and whole words.
 Language, source and id are no inputs of a prediction.
 
-Texts are lower-cased and cut at white space; a word begins with the vocabulary's word mark; runs
-of more than LONGEST characters are scored in parts of that length; a character that no piece
-covers has a small fixed share.
+Texts are lower-cased and cut at white space; a word begins with the vocabulary's word mark; all
+pieces of the vocabulary take part, of whatever length; a character that no piece covers has a
+small fixed share. Words of at most LONGEST characters are scored many at once; a longer one on its
+own, place by place with a scale kept apart, in sections, so that no length underflows or fills memory.
 
 Defined results: a text that is null or has no letter is `und` with score 0; so is all if no text
 teaches; ties go to the language first in order; the score is the posterior if the text had at
 most EVIDENCE words like its average; repeated rows are kept; empty tables give no rows; other
-columns are not looked at. Memory: one batch, the model and a bounded cache of words.
+columns are not looked at. Memory: one batch, the model and a cache of words bounded by CACHE bytes.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import zip_longest
 
 import numpy as np
 import sentencepiece
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.bpe import GATHER
-from veriloom.llm.common import arrow_map, arrow_schema, fold, keep_rows, small_batches
+from veriloom.llm.common import Remembered, arrow_map, arrow_schema, fold, keep_rows, least_hashed, small_batches, tools, within_bytes
 
-#: Texts of each language that are learnt from, at most, and rounds of learning.
-SAMPLE, ROUNDS = 400, 3
+#: Texts of each language that are learnt from, at most, their bytes together, and rounds of learning.
+SAMPLE, SAMPLE_BYTES, ROUNDS = 400, 64 << 20, 3
 LEARN_MODULUS, HELD_OUT = 5, 0
-#: Characters of a piece and of a word scored at once; words that a posterior counts; words remembered.
-PIECE, LONGEST, EVIDENCE, CACHE = 8, 32, 20, 1_500_000
+#: Characters of a word scored beside others; of a section of a longer one; words that a posterior counts; bytes of words remembered; bytes of text whose words are scored at once.
+LONGEST, SECTION, EVIDENCE, CACHE, GATHER = 32, 1 << 16, 20, 96 << 20, 4 << 20
 MARK, UNKNOWN, UND = "▁", 1e-6, "und"
 BASE, SPREAD, BITS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), 22
 
 
 def vocabulary(path: str) -> list[str]:
-    """Lower-cased pieces of the vocabulary, word mark in front only, of at most PIECE characters."""
+    """Lower-cased pieces of the vocabulary that can match within a word: word mark in front only."""
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i) or sp.is_unused(i))}
-    return sorted(p for p in found if 0 < len(p) <= PIECE and MARK not in p[1:])
+    return sorted(p for p in found if p and MARK not in p[1:])
 
 
 class Matcher:
@@ -53,7 +57,8 @@ class Matcher:
         self.size = len(pieces) + 1  # the last stands for unknown characters
         self.keys, self.index = [], []
         self.seen = np.zeros(1 << BITS, bool)
-        for n in range(1, PIECE + 1):
+        self.longest = max(map(len, pieces), default=1)
+        for n in range(1, self.longest + 1):
             own = [i for i, p in enumerate(pieces) if len(p) == n]
             codes = np.array([[ord(c) for c in pieces[i]] for i in own], np.uint64).reshape(-1, n)
             h = np.zeros(len(own), np.uint64)
@@ -74,11 +79,17 @@ class Matcher:
         marks = np.flatnonzero(codes == ord(MARK))
         begin, end = marks[:-1], marks[1:]
         place = np.arange(len(codes)) - np.repeat(marks, np.diff([*marks, len(codes)]))
+        start, length, piece = self.edges(codes)
+        inside = start < len(codes) - 1
+        start, length, piece = start[inside], length[inside], piece[inside]
+        order = np.lexsort((length, place[start] + length))
+        return begin, end, start[order], length[order], piece[order], (place[start] + length)[order]
+
+    def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, length and number of every piece that matches, and of the unknown characters."""
         h = np.zeros(len(codes), np.uint64)
         edges = []
-        for n in range(1, PIECE + 1):
-            if len(codes) < n:
-                break
+        for n in range(1, min(self.longest, len(codes)) + 1):
             h = h[: len(codes) - n + 1] * BASE + codes[n - 1 :] + np.uint64(1)
             if not len(self.keys[n - 1]):
                 continue
@@ -90,14 +101,9 @@ class Matcher:
             if n == 1:
                 lone = np.ones(len(codes), bool)
                 lone[at] = False
-                lone[-1] = False
                 miss = np.flatnonzero(lone)
                 edges.append((miss, np.ones(len(miss), np.int64), np.full(len(miss), self.size - 1)))
-        start, length, piece = (np.concatenate(x) for x in zip(*edges, strict=True))
-        inside = start < len(codes) - 1
-        start, length, piece = start[inside], length[inside], piece[inside]
-        order = np.lexsort((length, place[start] + length))
-        return begin, end, start[order], length[order], piece[order], (place[start] + length)[order]
+        return tuple(np.concatenate(x) for x in zip(*edges, strict=True))
 
 
 def groups(ends: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int]]:
@@ -131,13 +137,38 @@ def word_scores(words: list[str], matcher: Matcher, p: np.ndarray) -> np.ndarray
     return np.log(alpha[len(alpha) - len(words) :])
 
 
+def long_score(word: str, matcher: Matcher, p: np.ndarray) -> np.ndarray:
+    """Log-probabilities of a word of any length. held: probability mass at the next places, over a scale kept apart."""
+    codes = np.frombuffer((MARK + word).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n, width = len(codes), matcher.longest + 1
+    held, scale = np.zeros((width, p.shape[1])), np.zeros(p.shape[1])
+    held[0] = 1
+    for a in range(0, n, SECTION):
+        many = min(SECTION, n - a)
+        start, length, piece = matcher.edges(codes[a : a + many + matcher.longest - 1])
+        order = np.argsort(start, kind="stable")
+        start, length, piece = start[order], length[order], piece[order]
+        ends = np.searchsorted(start, np.arange(many), side="right").tolist()
+        flow, to = p[piece], length + start + a
+        i = 0
+        for at in range(many):
+            j, here = ends[at], (a + at) % width
+            held[to[i:j] % width] += held[here] * flow[i:j]
+            held[here] = 0
+            if at % 8 == 7:
+                top = held.max(axis=0)
+                held /= top
+                scale += np.log(top)
+            i = j
+    return np.log(held[n % width]) + scale
+
+
 def parts(word: str) -> list[str]:
     return [word] if len(word) <= LONGEST else [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
 
 
 def words_of(text: str) -> list[str]:
-    words = text.lower().replace(MARK, " ").split()
-    return words if not words or max(map(len, words)) <= LONGEST else [p for w in words for p in parts(w)]
+    return text.lower().replace(MARK, " ").split()
 
 
 @dataclass
@@ -145,6 +176,7 @@ class Model:
     pieces: list[str]
     langs: list[str]
     p: np.ndarray = field(repr=False)  # pieces and unknown by languages
+    token: str = field(default_factory=lambda: uuid.uuid4().hex, repr=False)  # tells models apart in workers
 
 
 def learn(counts: dict[str, Counter], path: str, rounds: int = ROUNDS) -> Model:
@@ -184,14 +216,12 @@ def learn(counts: dict[str, Counter], path: str, rounds: int = ROUNDS) -> Model:
 class Scorer:
     def __init__(self, model: Model):
         self.matcher, self.p, self.langs = Matcher(model.pieces), model.p, model.langs
-        self.row: dict[str, int] = {}
+        self.row: dict[str, int] = Remembered(CACHE)
         self.table = np.zeros((1 << 16, len(self.langs)))
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        if len(self.row) > CACHE:
-            self.row.clear()
-        cut = [words_of(t) if t and any(map(str.isalpha, t)) else [] for t in texts]
-        new = sorted(set().union(*cut).difference(self.row)) if self.langs else []
+    def known(self, words: set[str]) -> dict[str, np.ndarray]:
+        """Scores words that are new, and gives those too long to remember."""
+        new = sorted(w for w in words.difference(self.row) if len(w) <= LONGEST)
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
             n = len(self.row)
@@ -199,12 +229,24 @@ class Scorer:
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             self.table[n : n + len(some)] = word_scores(some, self.matcher, self.p)
             self.row.update(zip(some, range(n, n + len(some)), strict=True))
+            self.row.told(some, 16 * len(self.langs))
+        return {w: long_score(w, self.matcher, self.p) for w in words if len(w) > LONGEST}
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        if self.row.trim():
+            self.table = np.zeros((1 << 16, len(self.langs)))
+        cut = [words_of(t) if t and any(map(str.isalpha, t)) else [] for t in texts]
+        apart = self.known(set().union(*cut)) if self.langs else {}
         out = []
         for words in cut:
             if not words or not self.langs:
                 out.append((UND, 0.0))
                 continue
-            total = self.table[np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))].sum(axis=0)
+            rows = [r for w in words if (r := self.row.get(w)) is not None] if apart else list(map(self.row.__getitem__, words))
+            total = self.table[np.array(rows, np.int64)].sum(axis=0)
+            for w in words if apart else ():
+                if w in apart:
+                    total = total + apart[w]
             best = int(total.argmax())
             z = (total - total[best]) * min(1.0, EVIDENCE / len(words))
             out.append((self.langs[best], float(1 / np.exp(z).sum())))
@@ -214,8 +256,8 @@ class Scorer:
 def train(docs: DataFrame, path: str, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Learns from rows outside the held-out fold; the words of the chosen rows come to the driver, counted."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & (fold(key, LEARN_MODULUS) != HELD_OUT))
-    first = Window.partitionBy("g").orderBy(F.xxhash64("k"), "k")
-    ids = [r["k"] for r in rows.select(F.col(key).alias("k"), F.col(lang).alias("g")).withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample).select("k").collect()]
+    least = least_hashed(rows.select(F.col(key).alias("k"), F.col(lang).alias("g")), sample)
+    ids = within_bytes(rows, [k for one in zip_longest(*least.values()) for k in one if k is not None], SAMPLE_BYTES, key, text)
     counts: dict[str, Counter] = {}
     if ids:
         chosen = rows.where(F.col(key).isin(ids)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
@@ -224,7 +266,7 @@ def train(docs: DataFrame, path: str, sample: int = SAMPLE, key: str = "doc_id",
         def count(batch):
             found = Counter()
             for g, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found.update((g, w) for w in words_of(t or ""))
+                found.update((g, x) for w in words_of(t or "") for x in parts(w))
             return {"lang": [k[0] for k in found], "word": [k[1] for k in found], "n": list(found.values())}
 
         for r in arrow_map(chosen, count, arrow_schema(ddl), ddl).groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
@@ -235,17 +277,18 @@ def train(docs: DataFrame, path: str, sample: int = SAMPLE, key: str = "doc_id",
 PREDICTED = "doc_id long, lang_pred string, score double"
 
 
+def _scorer(shared) -> Scorer:
+    return tools(f"langid {shared.value.token}", lambda: Scorer(shared.value))
+
+
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred and score of every row."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # pieces by languages, bounded by the vocabulary
-    held: list[Scorer] = []
 
     def rows(batch):
-        if not held:
-            held.append(Scorer(shared.value))
         ids, texts = (c.to_pylist() for c in batch.columns)
-        found = held[0].predict(texts)
+        found = _scorer(shared).predict(texts)
         return {"doc_id": ids, "lang_pred": [g for g, _ in found], "score": [s for _, s in found]}
 
     return arrow_map(docs.select(key, text), rows, arrow_schema(PREDICTED), PREDICTED, gather=GATHER)
@@ -255,11 +298,8 @@ def keep(docs: DataFrame, model: Model, least: float, text: str = "text") -> Dat
     """Rows whose language is known with at least this score."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    held: list[Scorer] = []
 
     def good(texts):
-        if not held:
-            held.append(Scorer(shared.value))
-        return [g != UND and s >= least for g, s in held[0].predict(texts)]
+        return [g != UND and s >= least for g, s in _scorer(shared).predict(texts)]
 
     return keep_rows(docs, text, good, GATHER)

@@ -5,7 +5,8 @@ of text, says which dictionary knows it better; a logistic curve in that differe
 size itself, fitted on labelled rows that the dictionaries haven't seen and moved to the share
 of good labels in the learning fold, makes it a probability.
 
-Learning takes at most SAMPLE rows of each label, those of least id hash; scoring covers all.
+Learning takes at most SAMPLE rows of each label, those of least id hash, and whole texts of at most
+SAMPLE_BYTES in all (a text that would go beyond is passed over); scoring covers all.
 Labels, language, source and id are no inputs of a score.
 
 Defined results: null and empty texts get the curve's value at no bytes; without labelled rows of
@@ -20,13 +21,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import arrow_map, arrow_schema, fold, keep_rows, small_batches
+from veriloom.llm.common import arrow_map, arrow_schema, fold, keep_rows, least_hashed, small_batches, within_bytes
 
 #: Labelled rows of each kind that are learnt from, at most; half for the dictionary, half for the curve.
-SAMPLE = 1200
+SAMPLE, SAMPLE_BYTES = 1200, 64 << 20
 DICTIONARY_BYTES, LEVEL, PART = 65_536, 3, 2_000
 LEARN_MODULUS, HELD_OUT = 3, 1
 #: Least score of a text that the classifier takes for good.
@@ -109,9 +110,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & (fold(key, LEARN_MODULUS) != HELD_OUT)).groupBy(F.col(key).alias("k")).agg(F.min(label).alias("y"))
     known = known.join(docs.select(F.col(key).alias("k")).distinct(), "k", "left_semi")
     n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    first = Window.partitionBy("y").orderBy(F.xxhash64("k"), "k")
-    chosen = {r["k"]: r["y"] for r in known.withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample).collect()}
-    found = docs.where(F.col(key).isin(list(chosen))).select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).collect() if chosen else []
+    least = least_hashed(known.select("k", F.col("y").alias("g")), sample)
+    chosen = {k: y for y, keys in least.items() for k in within_bytes(docs, keys, SAMPLE_BYTES // 2, key, text)}
+    found = docs.where(F.col(key).isin(list(chosen))).select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).distinct().collect() if chosen else []
     place = {k: i for i, k in enumerate(chosen)}
     texts = {0: [], 1: []}
     for k, t in sorted({(r["k"], r["t"]) for r in found}, key=lambda r: (place[r[0]], r[1])):
