@@ -1,4 +1,5 @@
 import itertools
+import random
 from collections import Counter
 
 import pytest
@@ -48,9 +49,49 @@ def test_counts_are_kept(counts):
         assert held == counts
 
 
-def test_dominance():
-    assert packing.dominated((3, 2), (5,)) and packing.dominated((4,), (5,)) and packing.dominated((), (1,))
-    assert not packing.dominated((5,), (3, 2)) and not packing.dominated((4, 4), (5, 3))
+def fits_into(a, b):
+    """The lengths of a, each in one of b, several in one allowed."""
+    if not a:
+        return True
+    return any(r >= a[0] and fits_into(a[1:], (*b[:i], r - a[0], *b[i + 1 :])) for i, r in enumerate(b))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 16), max_size=7), st.integers(0, 20))
+def test_fillings_are_the_undominated_ones(sizes, room):
+    feasible = {tuple(sorted(c, reverse=True)) for n in range(len(sizes) + 1) for c in itertools.combinations(sizes, n) if sum(c) <= room}
+    undominated = {a for a in feasible if not any(a != b and fits_into(a, b) for b in feasible)}
+    found = list(packing.fillings(Counter(sizes), room))
+    assert len(found) == len(set(found)) and set(found) == undominated
+    assert [sum(f) for f in found] == sorted(map(sum, found), reverse=True)
+    assert list(packing.fillings(Counter(sizes), room, 2)) == [f for f in found if room - sum(f) <= 2]
+
+
+def hard(capacity, bins, seed):
+    """Threes that fill a bin each, so the bound is met, and best fit misses it by much."""
+    rng, out = random.Random(seed), []
+    for _ in range(bins):
+        a = rng.randrange(capacity // 4 + 1, capacity // 2 - 2)
+        b = rng.randrange(capacity // 4 + 1, min(capacity // 2, capacity - a - capacity // 4))
+        out += [a, b, capacity - a - b]
+    return Counter(out)
+
+
+@pytest.mark.parametrize(("capacity", "bins", "seed"), [(30, 10, 1), (50, 12, 2), (60, 15, 3), (100, 12, 4), (200, 20, 7)])
+def test_search_betters_best_fit(capacity, bins, seed):
+    counts = hard(capacity, bins, seed)
+    first = sum(m for _, m in packing.best_fit_decreasing(counts, capacity))
+    found = packing.bin_completion(counts, capacity)
+    assert sum(m for _, m in found) == bins < first
+    assert sum((Counter({s: k * m for s, k in Counter(b).items()}) for b, m in found), Counter()) == counts
+
+
+def test_multiplicities_are_taken_back():
+    """Each filling as often as it fits is not best here: some bins need the lengths of another filling."""
+    for seed in range(40):
+        rng = random.Random(seed)
+        counts = Counter({s: rng.randrange(1, 5) for s in rng.sample(range(2, 16), 4)})
+        assert sum(m for _, m in packing.bin_completion(counts, 20)) == fewest(list(counts.elements()), 20)
 
 
 def test_packed_rows(spark):

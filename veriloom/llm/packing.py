@@ -3,10 +3,12 @@
 Every document becomes its ids and one end id; what is longer than a sequence is cut. Lengths
 are whole numbers up to the capacity, so the packing needs their counts only, at most as many
 as the capacity, however large the table: the driver solves that, and no piece leaves the
-executors. Bin completion: around the largest length left, enumerate fillings that none other
-dominates, apply one as often as the counts allow, and go on depth first; a branch ends when
-its waste can't beat the incumbent. The first incumbent is best-fit decreasing, and fillings
-are tried in best-fit order. The result is a list of patterns with multiplicities. A piece
+executors. Bin completion: around the largest length left, enumerate the fillings that none other
+dominates, lazily, least waste first (the next waste is looked at only when all fillings of the
+one before are used up); apply one as often as the counts allow, then once less often, and so on,
+depth first; a branch ends when its waste can't beat the incumbent. The first incumbent is best-fit
+decreasing. Nothing but STEPS bounds the search, the same for all inputs; what is best by then is
+the result, a list of patterns with multiplicities that packs every piece. A piece
 finds its place from its rank among the pieces of its length, counted in salted buckets, so a
 length that a third of all pieces share is spread over many tasks.
 
@@ -20,6 +22,7 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import regex
@@ -27,16 +30,16 @@ import tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriloom.llm.bpe import GATHER, UNSURE, printable_bytes
-from veriloom.llm.common import arrow_map, arrow_schema, checkpointed, small_batches
+from veriloom.llm.bpe import UNSURE, printable_bytes
+from veriloom.llm.common import Remembered, arrow_map, arrow_schema, checkpointed, small_batches, tools
 
 CAPACITY, END = 2048, 0
 #: Buckets that the pieces of one length are dealt to for ranking.
 BUCKETS = 256
-#: Fillings tried at a node, and nodes visited, by the search.
-FILLINGS, NODES = 6, 60_000
-#: Chunks remembered by a worker, and words.
-CHUNKS, WORDS = 1_000_000, 600_000
+#: Steps of the search: a node counts NODE, a step of the enumeration 1.
+STEPS, NODE = 2_000_000, 20
+#: Bytes of chunks remembered by a worker, and of words; bytes of text worked on at once.
+CHUNKS, WORDS, GATHER = 96 << 20, 64 << 20, 4 << 20
 
 
 class WordIds:
@@ -48,20 +51,19 @@ class WordIds:
         # fixed value: the vocabulary's word pattern
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.letter = {b: c for c, b in printable_bytes().items()}
-        self.chunks: dict[str, bytes] = {}
-        self.coded: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = Remembered(CHUNKS)
+        self.coded: dict[str, bytes] = Remembered(WORDS)
 
     def word(self, w: str) -> bytes:
         if (known := self.coded.get(w)) is None:
             shown = w if w.isascii() and w.isprintable() else "".join(map(self.letter.__getitem__, w.encode("utf-8", "surrogatepass")))
             known = self.coded[w] = np.array([t.id for t in self.whole.model.tokenize(shown)], "<u4").tobytes()
+            self.coded.told((w,))
         return known
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.chunks) > CHUNKS:
-            self.chunks.clear()
-        if len(self.coded) > WORDS:
-            self.coded.clear()
+        self.chunks.trim()
+        self.coded.trim()
         cut = []
         for t in texts:
             if any(s in t for s in self.special) or any(c in t for c in "\x1c\x1d\x1e\x1f") or not t.isascii() and UNSURE.search(t):
@@ -77,16 +79,12 @@ class WordIds:
         chunks, word, words = self.chunks, self.word, self.words.findall
         for c in new:
             chunks[c] = b"".join(map(word, words(c)))
+        chunks.told(new)
         return [np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if c is None else b"".join(map(chunks.__getitem__, c)) for c, t in zip(cut, texts, strict=True)]
 
 
-_CODERS: dict[str, WordIds] = {}
-
-
 def coder(path: str) -> WordIds:
-    if path not in _CODERS:
-        _CODERS[path] = WordIds(path)
-    return _CODERS[path]
+    return tools(f"packing {path}", lambda: WordIds(path))
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -126,55 +124,76 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def dominated(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
-    """The lengths of a fit into those of b, several into one allowed: b is as good wherever a is."""
-    if not a:
-        return True
-    rest = list(b)
-    for i, room in enumerate(rest):
-        if room >= a[0] and (i == 0 or room != rest[i - 1]) and dominated(a[1:], tuple(sorted([*rest[:i], room - a[0], *rest[i + 1 :]], reverse=True))):
-            return True
-    return False
-
-
-def fillings(sizes: list[int], counts: dict[int, int], room: int, most: int = FILLINGS) -> list[tuple[int, ...]]:
-    """Undominated sets of lengths for the room beside the largest, least waste first, then fewest and largest lengths."""
-    if counts.get(room):
-        return [(room,)]  # one length that fills the room dominates all else
-    found: list[tuple[int, tuple[int, ...]]] = []
-
-    def complete(left: int, used: tuple[int, ...], depth: int) -> None:
-        """Greedy largest-first completion, with a look for an exact pair at each step."""
-        while left > 0:
-            free = lambda s: counts.get(s, 0) - used.count(s)
-            if free(left) > 0:
-                used, left = (*used, left), 0
-                break
-            fitting = [s for s in sizes if s <= left]  # descending
-            pair = next(((s, left - s) for s in fitting[:400] if 2 * s >= left and free(left - s) > (s == left - s) and free(s) > 0), None)
-            if pair:
-                used, left = (*used, *pair), 0
-                break
-            step = next((s for s in fitting if free(s) > 0), None)
-            if step is None:
-                break
-            used, left = (*used, step), left - step
-        found.append((left, tuple(sorted(used, reverse=True))))
-
-    tried = 0
-    for s in sizes:
-        if s <= room and counts[s]:
-            complete(room - s, (s,), 0)
-            tried += 1
-            if tried >= 3 * most or (tried >= most and found[-1][0] == 0):
-                break
-    out: list[tuple[int, ...]] = []
-    for _, f in sorted(set(found), key=lambda x: (x[0], len(x[1]), [-s for s in x[1]])):
-        if not any(dominated(f, g) for g in out):
-            out.append(f)
-        if len(out) == most:
-            break
-    return out or [()]
+class _Spent(Exception):
+    """The search has used up its steps."""
+
+
+class _Steps:
+    def __init__(self, most: int):
+        self.left = most
+
+    def take(self, n: int = 1) -> None:
+        self.left -= n
+        if self.left < 0:
+            raise _Spent
+
+
+def _times(reach: int, size: int, count: int, mask: int) -> int:
+    """The sums (bits) that up to count more of a size can make of the sums in reach."""
+    step = 1
+    while count > 0 and size <= mask.bit_length():
+        step = min(step, count)
+        reach |= (reach << size * step) & mask
+        count -= step
+        step *= 2
+    return reach
+
+
+def fillings(counts: dict[int, int], room: int, waste: int | None = None, steps: _Steps | None = None) -> Iterator[tuple[int, ...]]:
+    """All undominated sets of lengths for the room, lazily: least waste first (none above the given), then larger lengths.
+
+    A filling is dominated if some of its lengths (or none) could be taken out for one unused length at least as large as
+    they are together, and it still fits. Within a waste, the search goes from large lengths to small ones over the sums
+    that the rest can make, and leaves a branch as soon as such an exchange is sure."""
+    steps = steps or _Steps(1 << 62)
+    sizes = sorted((s for s, n in counts.items() if n > 0 and s <= room), reverse=True)
+    mask = (1 << (room + 1)) - 1
+    reach = [1]  # reach[-1 - i]: sums that the i smallest sizes can make
+    for s in reversed(sizes):
+        reach.append(_times(reach[-1], s, min(counts[s], room // s), mask))
+    reach.reverse()
+    unused_all = sum(1 << s for s in sizes)
+
+    def swaps(sums: int, unused: int, slack: int) -> bool:
+        """Whether an unused length lies at most slack above one of the sums, or on it."""
+        return bool(_times(sums, 1, slack, mask) & unused)
+
+    def below(i: int, left: int, slack: int, chosen: tuple[int, ...], sums: int, unused: int) -> Iterator[tuple[int, ...]]:
+        if not left:
+            steps.take()
+            if not any(unused >> s & 1 for s in sizes if s <= slack):  # nothing fits into the waste
+                yield chosen
+            return
+        for j in range(i, len(sizes)):
+            if not reach[j] >> left & 1:
+                return
+            s = sizes[j]
+            for k in range(min(counts[s], left // s), 0, -1):
+                steps.take()
+                if not reach[j + 1] >> (left - k * s) & 1:
+                    continue
+                new = sums << s  # sums of chosen lengths with one of these among them, or several
+                for _ in range(k - 1):
+                    new |= new << s
+                left_over = unused & ~(1 << s) if k == counts[s] else unused
+                # a length alone isn't swapped for its like
+                if swaps(new & ~(1 << s), left_over, slack) or swaps(1 << s, left_over & ~(1 << s), slack):
+                    continue
+                yield from below(j + 1, left - k * s, slack, (*chosen, *(s,) * k), sums | new, left_over)
+
+    for slack in range(min(room, room if waste is None else waste) + 1):
+        if reach[0] >> (room - slack) & 1:
+            yield from below(0, room - slack, slack, (), 1, unused_all)
 
 
 def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -207,8 +226,8 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[tup
     return list(open_bins.items())
 
 
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths of one bin, number of such bins). nodes bounds the search, never what is packed."""
+def bin_completion(counts: dict[int, int], capacity: int, steps: int = STEPS) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns (lengths of one bin, number of such bins). steps bounds the search, never what is packed."""
     counts = {s: n for s, n in counts.items() if n}
     if not counts:
         return []
@@ -217,48 +236,51 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = NODES) ->
     best = best_fit_decreasing(counts, capacity)
     least, total = lower_bound(counts, capacity), sum(s * n for s, n in counts.items())
     fewest = sum(m for _, m in best)
+    budget, left = _Steps(steps), dict(counts)
     path: list[tuple[tuple[int, ...], int]] = []
-    left, waste, used = dict(counts), 0, 0
-    stack: list[list] = []  # untried fillings of each level
-    forward = True
-    while nodes > 0 and fewest > least:
-        if forward:
-            nodes -= 1
-            sizes = sorted((s for s in left if left[s]), reverse=True)
-            if not sizes:
-                if used < fewest:
-                    best, fewest = list(path), used
-                forward = False
-                continue
-            big = sizes[0]
-            left[big] -= 1
-            choices = [(big, *f) for f in fillings(sizes, left, capacity - big)]
-            left[big] += 1
-            stack.append(choices[::-1])
-        elif path and len(path) == len(stack):
-            bins, m = path.pop()
-            for s, k in Counter(bins).items():
-                left[s] = left.get(s, 0) + m * k
-            waste -= m * (capacity - sum(bins))
-            used -= m
-        if not stack:
-            break
-        if not stack[-1]:
-            stack.pop()
-            forward = False
-            if not stack:
-                break
-            continue
-        bins = stack[-1].pop()
-        m = min(left[s] // k for s, k in Counter(bins).items())
-        more = m * (capacity - sum(bins))
-        if waste + more > (fewest - 1) * capacity - total:
-            forward = False  # no better than the incumbent, whatever follows
-            continue
+    waste = used = 0
+
+    def applications() -> Iterator[tuple[tuple[int, ...], int]]:
+        """Fillings around the largest length left, each as often as the counts allow, then less often."""
+        budget.take(NODE)
+        big = max(s for s, n in left.items() if n)
+        rest = {s: n - (s == big) for s, n in left.items() if n}
+        for f in fillings(rest, capacity - big, (fewest - 1) * capacity - total - waste, budget):
+            bins = (big, *f)
+            for m in range(min(left[s] // k for s, k in Counter(bins).items()), 0, -1):
+                yield bins, m
+
+    def put(bins: tuple[int, ...], m: int) -> None:
+        nonlocal waste, used
         for s, k in Counter(bins).items():
             left[s] -= m * k
-        path.append((bins, m))
-        waste, used, forward = waste + more, used + m, True
+        waste += m * (capacity - sum(bins))
+        used += m
+
+    stack: list[Iterator[tuple[tuple[int, ...], int]]] = []
+    try:
+        if fewest > least:
+            stack.append(applications())
+        while stack and fewest > least:
+            if len(path) == len(stack):  # back from below
+                bins, m = path.pop()
+                put(bins, -m)
+            choice = next(stack[-1], None)
+            if choice is None:
+                stack.pop()
+                continue
+            budget.take()
+            bins, m = choice
+            if waste + m * (capacity - sum(bins)) > (fewest - 1) * capacity - total:
+                continue  # no better than the incumbent, whatever follows
+            put(bins, m)
+            path.append(choice)
+            if not any(left.values()):
+                best, fewest = list(path), used
+            else:
+                stack.append(applications())
+    except _Spent:
+        pass
     return best
 
 
