@@ -8,7 +8,7 @@ on the path, so prefixes that words share are worked out once.
 
 Words come from the public byte-level pattern. Texts are first cut where a word boundary is
 certain (before a single space or around a single line feed between visible characters), and
-a worker remembers the ids of the pieces met so far, up to CACHE entries; then it forgets all.
+a worker remembers the ids of the pieces met so far, up to CACHE bytes; then it forgets all.
 
 Defined results: null is the empty text (no ids); the strings of special tokens in a text get
 their ids; equal texts give equal ids; repeated rows are kept; empty tables give no rows; other
@@ -29,14 +29,14 @@ import regex
 import tokenizers
 from pyspark.sql import DataFrame
 
-from veriloom.llm.common import arrow_map, arrow_schema, small_batches
+from veriloom.llm.common import Remembered, arrow_map, arrow_schema, small_batches, tools
 
-#: Pieces remembered by a worker.
-CACHE = 500_000
+#: Bytes of pieces remembered by a worker.
+CACHE = 128 << 20
 #: Bytes of text whose words go into one trie.
 GATHER = 16 << 20
-#: Words remembered by a worker, besides.
-WORDS = 400_000
+#: Bytes of words remembered by a worker, besides.
+WORDS = 96 << 20
 #: Pairs of neighbours remembered.
 PAIRS = 400_000
 #: Fixed value: the public word pattern of byte-level BPE.
@@ -77,9 +77,9 @@ class Encoder:
         self.cutter = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False)
         self.letters = letters
         self.between = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known: dict[str, bytes] = {}
-        self.coded: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = Remembered(CACHE)
+        self.coded: dict[str, bytes] = Remembered(WORDS)
+        self.first: dict[str, bytes] = Remembered(CACHE // 8)
 
     def is_sound(self, token: int) -> bool:
         """The token encodes as itself: its halves do, and none but its own merge crosses their border in time."""
@@ -139,15 +139,16 @@ class Encoder:
             return self.words.findall(text)
         return [bytes(map(self.letters.__getitem__, w)).decode("utf-8", "surrogateescape") for w, _ in self.cutter.pre_tokenize_str(text)]
 
-    def _learn(self, pieces: dict[str, list[str]], cache: dict[str, bytes]) -> None:
-        if len(self.coded) > WORDS:
-            self.coded.clear()
+    def _learn(self, pieces: dict[str, list[str]], cache: Remembered) -> None:
+        self.coded.trim()
         coded = self.coded
         new = {w.encode("utf-8", "surrogatepass"): w for ws in pieces.values() for w in ws if w not in coded}
         for word, ids in self.walk(new).items():
             coded[new[word]] = array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
+        coded.told(new.values())
         for piece, ws in pieces.items():
             cache[piece] = b"".join([coded[w] for w in ws])
+        cache.told(pieces)
 
     def learn(self, missing: set[str]) -> None:
         """A piece stands after a space that is not part of its key, or else begins with its line feed."""
@@ -155,10 +156,8 @@ class Encoder:
 
     def plain(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of texts without special tokens."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        if len(self.first) > CACHE // 8:
-            self.first.clear()
+        self.known.trim()
+        self.first.trim()
         cut: list[list[str] | None] = []
         for t in texts:
             # one separator between any two runs of visible characters, and each a space or a line feed
@@ -179,7 +178,7 @@ class Encoder:
         out = [first[p[0]] + b"".join([known[x] for x in p[1:]]) if p else first[t] for p, t in zip(cut, texts, strict=True)]
         for p, t in zip(cut, texts, strict=True):
             if p is None and len(t) > 64:  # whole odd texts would swell the cache
-                first.pop(t, None)
+                first.pop(t, None)  # still counted: forgotten a little earlier
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -195,14 +194,9 @@ class Encoder:
         return b"".join([of[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One for each worker process and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return tools(f"bpe {path}", lambda: Encoder(path))
 
 
 ENCODED = "doc_id long, ids binary"

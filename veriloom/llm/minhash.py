@@ -34,7 +34,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import arrow_map, arrow_schema, checkpointed, compact, small_batches
+from veriloom.llm.common import Remembered, arrow_map, arrow_schema, checkpointed, compact, small_batches, tools
 from veriloom.llm.components import components
 
 WORDS, PERCENT = 5, 75
@@ -42,7 +42,8 @@ WORDS, PERCENT = 5, 75
 BANDS, ROWS, UNIVERSE = 32, 4, 1 << 20
 LENGTH = BANDS * ROWS
 LEAST = int(LENGTH * (PERCENT / 100) - 5.5 * (LENGTH * 0.75 * 0.25) ** 0.5)
-BLOCK, CACHE = 1024, 500_000
+#: Members of a block; bytes of words remembered.
+BLOCK, CACHE = 1024, 64 << 20
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -54,7 +55,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 class Shingler:
     def __init__(self):
-        self.known: dict[bytes, int] = {}
+        self.known: dict[bytes, int] = Remembered(CACHE)
 
     def shingles(self, text: str | None) -> np.ndarray:
         """Sorted distinct 64-bit hashes."""
@@ -62,10 +63,11 @@ class Shingler:
         if not words:
             return np.zeros(0, np.uint64)
         known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        for w in set(words).difference(known):
+        known.trim()
+        new = set(words).difference(known)
+        for w in new:
             known[w] = xxhash.xxh3_64_intdigest(w)
+        known.told(new)
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         if len(h) < WORDS:
             return _mixed((h * _ODD[: len(h)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(h)))
@@ -99,13 +101,8 @@ def bands_of(signature: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-_HELD: dict[str, object] = {}
-
-
 def _tools() -> tuple[Shingler, Circulant]:
-    if not _HELD:
-        _HELD["shingler"], _HELD["circulant"] = Shingler(), Circulant()
-    return _HELD["shingler"], _HELD["circulant"]
+    return tools("minhash", lambda: (Shingler(), Circulant()))
 
 
 SKETCH = "doc_id long, n_shingles long, set_key binary, signature binary, bands array<long>"
