@@ -17,5 +17,5 @@ def clashing(df):
     """The table with extra columns whose names the operators use themselves."""
     from pyspark.sql import functions as F
 
-    names = ("length", "piece", "score", "shingles", "bucket", "node", "doc", "found", "band", "ids", "key", "n", "rank", "signature", "place", "first")
+    names = ("length", "piece", "score", "shingles", "bucket", "node", "doc", "found", "band", "ids", "key", "n", "rank", "signature", "place", "first", "__found", "__doc", "__row", "row", "number", "kept_id", "component", "class_id", "hub", "g", "k", "h", "y")
     return df.withColumns({n: F.lit("x") for n in names})

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from helpers import DOCS
+from helpers import DOCS, clashing
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -70,3 +70,23 @@ def test_rows_of_one_id_or_none_are_documents(spark, parts):
     assert [i for i, t in left if passage in t] == [3]
     for k, (i, _) in enumerate(rows):
         assert sum(j == i and t.startswith(said(10 + k, 40)[:-5]) and t.endswith(said(20 + k, 40)[5:]) for j, t in left) == 1
+
+
+@pytest.mark.parametrize("case", ["empty", "clashing", "repeated"])
+def test_odd_tables(spark, tmp_path, case):
+    """Empty tables give no rows; clashing columns are kept up to stage 4; repeated and very long rows."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(EN, k=60)) for _ in range(30)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(50, None), (51, ""), (52, " ".join(rng.choices(EN, k=60_000))), (53, "the" * 30_000)] + ([(3, texts[3])] * 20 if case == "repeated" else [])
+    docs = clashing(spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS).repartition(3)) if case != "empty" else spark.createDataFrame([], DOCS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1) for i in range(20)] if case != "empty" else [], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = docs.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        assert k == 4 or docs.columns == columns
+    ids = {r["doc_id"] for r in docs.collect()}
+    assert ids == (set() if case == "empty" else {*range(30), 52, 53}) and docs.count() >= len(ids)
+    assert docs.count() == docs.select("doc_id", "piece").distinct().count()

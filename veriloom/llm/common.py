@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch: whole texts travel in them, so a batch stays small.
-ARROW_ROWS = "512"
+#: Rows and bytes in one Arrow batch: whole texts travel in them, so a batch stays small.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "512"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", "4194304")}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    """Bounds the session's Arrow batches, which Spark reads when a plan runs; settings other than Spark's own stay as they are."""
+    for name, (usual, small) in ARROW.items():
+        if spark.conf.get(name, usual) == usual:
+            spark.conf.set(name, small)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like this one that df doesn't have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veriloom.llm.common import arrow_map, arrow_schema, checkpointed, gathered, small_batches
+from veriloom.llm.common import arrow_map, arrow_schema, checkpointed, gathered, small_batches, unused
 
 LENGTH = 100
 #: Bytes of an anchor; starts that share one at most; bytes beside the anchor that the second cut adds.
@@ -410,11 +410,13 @@ def _spans(rows: DataFrame) -> DataFrame:
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _with_spans(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _with_spans(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
+    """docs with squeezed texts and the spans of each in one more column, whose name it returns."""
     least = F.lit(-(1 << 63) + 1).cast("long")
     doc, full = F.coalesce(F.col(key).cast("long"), least), F.coalesce(F.col(text), F.lit(""))
-    spans = _spans(docs.select(doc.alias("doc"), full.alias("text"))).groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("__found"))
-    return squeezed(docs.withColumn("__doc", doc), text).join(spans.withColumnRenamed("doc", "__doc"), "__doc", "left").drop("__doc")
+    found, number = unused(docs, "found"), unused(docs, "number")
+    spans = _spans(docs.select(doc.alias("doc"), full.alias("text"))).groupBy(F.col("doc").alias(number)).agg(F.collect_list(F.struct("first", "last")).alias(found))
+    return squeezed(docs.withColumn(number, doc), text).join(spans, number, "left").drop(number), found
 
 
 def repeats_digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -428,13 +430,15 @@ def repeats_digest(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 out[k].append(v)
         return out
 
-    return arrow_map(_with_spans(docs.select(F.col(key).cast("long").alias(key), text), key, text).select(key, text, "__found"), rows, arrow_schema(RESULT), RESULT)
+    joined, found = _with_spans(docs.select(F.col(key).cast("long").alias(key), text), key, text)
+    return arrow_map(joined.select(key, text, found), rows, arrow_schema(RESULT), RESULT)
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with what is left of each text; bytes of characters that a removal cuts in two go as well."""
     names = docs.columns
-    joined = _with_spans(docs, key, text).select(*names, "__found")
+    joined, found = _with_spans(docs, key, text)
+    joined = joined.select(*(F.col(f"`{c}`") for c in (*names, found)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
