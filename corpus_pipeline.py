@@ -23,10 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriloom.llm import langid, minhash, packing, quality, suffix
-from veriloom.llm.common import checkpointed, shared_folder, table
+from veriloom.llm.common import checkpointed, shared_folder, table, unused
 
 LEAST_LANGUAGE = 0.5
-ROW = "__row"
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,18 +43,19 @@ def told_apart(docs: DataFrame) -> tuple[DataFrame, str]:
         return docs, "doc_id"
     rest = F.to_json(F.struct(*(c for c in docs.columns if c not in ("doc_id", "text"))))
     ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.xxhash64(rest))
-    return checkpointed(ordered.withColumn(ROW, F.monotonically_increasing_id())), ROW
+    row = unused(docs, "row")
+    return checkpointed(ordered.withColumn(row, F.monotonically_increasing_id())), row
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, key = told_apart(docs)
     kept = minhash.near_duplicates(rows, key).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return rows.join(kept, rows[key] == kept["kept_id"], "left_semi").drop(ROW)
+    return rows.join(kept, rows[key] == kept["kept_id"], "left_semi").select(docs.columns)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, key = told_apart(docs)
-    return suffix.without_repeats(rows, key).drop(ROW).withColumn("n_chars", F.char_length("text").cast("long"))
+    return suffix.without_repeats(rows, key).select(docs.columns).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,4 +79,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            removed(spark, f"{folder}/{i - 1}")
     return docs
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """What one stage wrote, once the next has read it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
