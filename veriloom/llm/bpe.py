@@ -168,7 +168,7 @@ class Encoder:
         for pieces in cut:
             if pieces:
                 missing.update(pieces[1:])
-        missing.difference_update(self.known)
+        missing = {x for x in missing if x not in self.known}
         if missing:
             self.learn(missing)
         heads = {p[0] if p else t for p, t in zip(cut, texts, strict=True)}

@@ -69,7 +69,9 @@ def tools(name: str, make: Callable[[], Any]) -> Any:
 
 
 class Remembered(dict):
-    """A dict that counts the bytes of what it is told of, and forgets all in trim() once there are too many."""
+    """A dict that counts the bytes of what it is told of, and forgets all in trim() once there are too many.
+
+    Test its keys with `in`: set.difference() walks through all of a mapping that is not a plain dict."""
 
     def __init__(self, most: int):
         super().__init__()

@@ -221,7 +221,7 @@ class Scorer:
 
     def known(self, words: set[str]) -> dict[str, np.ndarray]:
         """Scores words that are new, and gives those too long to remember."""
-        new = sorted(w for w in words.difference(self.row) if len(w) <= LONGEST)
+        new = sorted(w for w in words if w not in self.row and len(w) <= LONGEST)
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
             n = len(self.row)

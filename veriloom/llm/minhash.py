@@ -64,7 +64,7 @@ class Shingler:
             return np.zeros(0, np.uint64)
         known = self.known
         known.trim()
-        new = set(words).difference(known)
+        new = [w for w in set(words) if w not in known]
         for w in new:
             known[w] = xxhash.xxh3_64_intdigest(w)
         known.told(new)

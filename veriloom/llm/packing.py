@@ -75,7 +75,7 @@ class WordIds:
         new: set[str] = set()
         for c in cut:
             new.update(c or ())
-        new.difference_update(self.chunks)
+        new = {c for c in new if c not in self.chunks}
         chunks, word, words = self.chunks, self.word, self.words.findall
         for c in new:
             chunks[c] = b"".join(map(word, words(c)))
