@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriloom.llm.common import Remembered, arrow_map, arrow_schema, checkpointed, compact, small_batches, tools
@@ -192,11 +192,18 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _dealt(members: DataFrame, payload: DataFrame) -> DataFrame:
-    """Members of buckets (band, node, component) dealt out by pairs of blocks of BLOCK members, with what payload has of
-    each node, sorted so that each pair of blocks comes in one run. Places are found before the payload joins."""
-    place = Window.partitionBy("band").orderBy("node")
-    blocks = members.withColumn("block", ((F.row_number().over(place) - 1) / BLOCK).cast("int")).withColumn("n", ((F.count(F.lit(1)).over(Window.partitionBy("band")) - 1) / BLOCK).cast("int"))
-    dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), "n"))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("n", "other")
+    """Members of buckets (band, node, component) dealt out by pairs of blocks of about BLOCK members, with what payload has
+    of each node, sorted so that each pair of blocks comes in one run. The largest component of a bucket has blocks of its
+    own, below 0, which don't meet each other: all their members are connected. Blocks go by hash, from counts, so no
+    bucket is ranked in one task, and places are found before the payload joins."""
+    counts = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.max("n").alias("of_major"), F.sum("n").alias("all"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    counts = counts.select("band", "major", blocks(F.col("of_major")).alias("majors"), blocks(F.col("all") - F.col("of_major")).alias("minors"))
+    placed = members.join(counts, "band").withColumn("h", F.xxhash64("node", "band"))
+    placed = placed.withColumn("block", F.when(F.col("component") == F.col("major"), -1 - F.pmod("h", F.col("majors"))).otherwise(F.pmod("h", F.greatest("minors", F.lit(1)))).cast("int"))
+    others = F.sequence(F.when(F.col("block") < 0, 0).otherwise(-F.col("majors")), F.col("minors") - 1)
+    dealt = placed.where("minors > 0").withColumn("other", F.explode(others)).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    dealt = dealt.select("band", "node", "component", "block", "i", "j")
     return dealt.join(payload, "node").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "block", "node")
 
 
@@ -278,8 +285,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """doc_id, n_shingles, class_id (least id with the same set), component_id and kept, a row for every row of docs."""
     rows = checkpointed(sketches(docs, key, text))
     equal = rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"))
-    classes = rows.join(equal.select("set_key", "node"), (rows["doc_id"] == F.col("node")) & (rows["set_key"] == equal["set_key"]), "left_semi")
-    classes = classes.select(F.col("doc_id").alias("node"), "n_shingles", "set_key", "signature", "bands").dropDuplicates(["node", "set_key"])
+    of_class = F.min_by(F.struct("n_shingles", "signature", "bands"), "doc_id").alias("c")  # combined before the shuffle: a class of any size is a row for each task
+    classes = rows.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), of_class).select("node", "set_key", "c.*")
     exploded = classes.select("node", F.explode("bands").alias("band"))
     hubs = exploded.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
     buckets = checkpointed(exploded.join(hubs, "band"))
