@@ -121,9 +121,10 @@ def repeated_texts():
     return texts
 
 
-@pytest.mark.parametrize("group", [8192, 4])
-def test_repeats_equal_brute_force(spark, monkeypatch, group):
+@pytest.mark.parametrize(("group", "share"), [(8192, 2.0), (4, 2.0), (8192, 1e-3), (8192, 0.02), (8192, 0.0), (4, 0.01)])
+def test_repeats_equal_brute_force(spark, monkeypatch, group, share):
     monkeypatch.setattr(suffix, "GROUP", group)
+    monkeypatch.setattr(suffix, "SHARE", share)
     monkeypatch.setattr(suffix, "CHUNK", 512)
     monkeypatch.setattr(suffix, "SORTED", 5000)
     rows = list(enumerate(repeated_texts()))
@@ -139,6 +140,18 @@ def test_repeats_equal_brute_force(spark, monkeypatch, group):
     assert suffix.repeats_digest(df.limit(0)).count() == 0
 
 
+def test_common_anchors(spark, monkeypatch):
+    """All of at least the share, none below half of it."""
+    texts = [t or "" for t in repeated_texts()]
+    anchors, n = np.unique(suffix.rows_of([t.encode() for t in texts])["anchor"].view(np.int64), return_counts=True)
+    long = documents(spark, texts, parts=7).selectExpr("doc_id AS doc", "text").where("octet_length(text) >= 100")
+    for share in (0.003, 0.01, 0.05):
+        monkeypatch.setattr(suffix, "SHARE", share)
+        found = set(suffix.common_anchors(long).tolist())
+        assert set(anchors[n >= share * n.sum()].tolist()) <= found <= set(anchors[n >= share / 2 * n.sum()].tolist())
+    assert len(suffix.common_anchors(long.limit(0))) == 0
+
+
 # ------------------------------------------------------------------ nearest neighbours
 
 

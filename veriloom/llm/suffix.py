@@ -8,11 +8,14 @@ times; the sort is dealt out instead, so that equal 100-byte strings always meet
    its content alone fixes. Runs of starts with one anchor are fragments. Within a task, only the
    earliest of equal fragments goes on, the others are repeats already; the rest are dealt by anchor,
    where later copies of equal fragments are repeats, and different fragments of one anchor remain.
+   Anchors of at least SHARE of all fragments (a common line in varied surroundings) are dealt by anchor
+   and content instead: a first pass counts them, and there are no more than 2 / SHARE of them.
 2. What remains is cut in two around 66 bytes that its strings share, read from the texts, and dealt
    by those. A task sorts the suffixes of many such groups at once by the difference-cover method:
    sort sampled triples, recurse on their names, place the others by one symbol and a sampled rank,
-   merge, and compare adjacent 100-byte prefixes. A group of more than GROUP fragments is left to an
-   exact count of its 100-byte strings, combined before the shuffle.
+   merge, and compare adjacent 100-byte prefixes. Fragments of the common anchors go string by string,
+   combined before the shuffle, so that no task gets more than one copy of a string from any other.
+   A group of more than GROUP fragments is left to an exact count of its 100-byte strings.
 
 Equal fragments are told by two 64-bit hashes, of the anchor and of the content; the suffix sort compares bytes.
 
@@ -29,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from numpy.lib.stride_tricks import sliding_window_view
@@ -45,6 +49,8 @@ WINDOW = LENGTH - PIECE + 1
 BESIDE = (LENGTH - PIECE) // 2
 #: Bytes hashed at once, texts gathered for one round of combining, text sorted at once, fragments of a group.
 CHUNK, GATHER, SORTED, GROUP = 1 << 19, 24 << 20, 2 << 20, 8_192
+#: Least share of all fragments that a common anchor has; compressed text whose common strings are combined at once.
+SHARE, TOGETHER = 1e-3, 1 << 20
 
 
 # ---------------------------------------------------------------- suffix sorting
@@ -231,15 +237,41 @@ SPAN, STRING = 0, 2
 SEEN = "anchor long, content long, doc long, place long"
 
 
+def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes]]:
+    """Documents and bytes of texts, in order of the documents."""
+    docs = batch.column(0).to_numpy()
+    order = np.argsort(docs, kind="stable")
+    texts = batch.column(1).to_pylist()
+    return docs[order], [texts[i].encode("utf-8", "surrogatepass") for i in order]
+
+
+def common_anchors(long: DataFrame) -> np.ndarray:
+    """All anchors of at least SHARE of the fragments, and none of less than half of that, so no more than 2 / SHARE.
+
+    Each batch tells of anchors that have half of SHARE in it: what is kept back of an anchor is less than half of SHARE
+    of all fragments."""
+    ddl = "anchor long, n long, of long"
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in gathered(batches, GATHER):
+            found, n = np.unique(rows_of(_texts(batch)[1])["anchor"].view(np.int64), return_counts=True)
+            of, many = int(n.sum()), n >= SHARE / 2 * n.sum()
+            of_each = np.zeros(int(many.sum()) + 1, np.int64)
+            of_each[-1] = of  # the last row has the batch's count alone
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(found[many], 0)), pa.array(np.append(n[many], 0)), pa.array(of_each)], schema=arrow_schema(ddl))
+
+    told = checkpointed(long.mapInArrow(counts, ddl).groupBy("anchor").agg(F.sum("n").alias("n"), F.sum("of").alias("of")))
+    of = told.agg(F.sum("of")).first()[0] or 0
+    return np.array([r["anchor"] for r in told.where(F.col("n") >= max(2.0, SHARE / 2 * of)).select("anchor").collect()], np.int64)
+
+
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts to the earliest of equal fragments, and to the spans of the others. doc is the number of the text's class."""
     schema = arrow_schema(SEEN)
     for batch in gathered(batches, GATHER):
-        docs = batch.column(0).to_numpy()
-        order = np.argsort(docs, kind="stable")
-        texts = batch.column(1).to_pylist()
-        f = rows_of([texts[i].encode("utf-8", "surrogatepass") for i in order])
-        doc = docs[order][f["text"]]
+        docs, texts = _texts(batch)
+        f = rows_of(texts)
+        doc = docs[f["text"]]
         o = np.lexsort((f["first"], doc, f["content"], f["anchor"]))
         again = np.zeros(len(o), bool)
         again[1:] = (f["anchor"][o[1:]] == f["anchor"][o[:-1]]) & (f["content"][o[1:]] == f["content"][o[:-1]])
@@ -252,8 +284,8 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in columns], schema=schema)
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by all their columns: later copies become spans; the earliest stay if their anchor has other contents."""
+def _met(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by all their columns: later copies become spans; the earliest stay if their anchor has other contents, or is common and may have them elsewhere."""
     schema = arrow_schema(SEEN)
     held: np.ndarray | None = None  # the first fragment of the last anchor, if it may turn out to be its only one
     last = head = None  # the last fragment, and the earliest of its content
@@ -280,7 +312,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if held is not None:
                 g, tied = np.concatenate([held[None], g]), np.concatenate([[False], tied])
             if len(g):
-                stays = tied.copy()
+                stays = tied | np.isin(g[:, 0], common)
                 stays[:-1] |= tied[1:]
                 held = g[-1] if not stays[-1] else None
                 emit.append(g[stays])
@@ -304,10 +336,22 @@ def squeezed(df: DataFrame, text: str) -> DataFrame:
 _EXPAND = zstandard.ZstdDecompressor()
 
 
+def _digest(string: bytes) -> bytes:
+    return hashlib.blake2b(string, digest_size=16).digest()
+
+
 def _cut(batch: pa.RecordBatch) -> dict[str, list]:
-    """Fragments of a text in two, by the 66 bytes from the anchor on and those up to its end: (key, doc, first, bytes)."""
+    """Fragments of a text in two, by the 66 bytes from the anchor on and those up to its end: (key, doc, first, bytes).
+
+    Of common anchors, strings: the earliest in this batch as a digest, the others as spans, without bytes."""
     out = {"key": [], "doc": [], "first": [], "raw": []}
-    for doc, frame, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+
+    def put(key: int, doc: int, first: int, raw: bytes | None) -> None:
+        for c, v in zip(out.values(), (key, doc, first, raw), strict=True):
+            c.append(v)
+
+    earliest: dict[bytes, tuple[int, int]] = {}
+    for doc, frame, found, common in sorted(zip(*(c.to_pylist() for c in batch.columns), strict=True), key=lambda r: r[0]):
         raw = _EXPAND.decompress(frame)
         for f in found:
             first = f >> 16
@@ -315,10 +359,17 @@ def _cut(batch: pa.RecordBatch) -> dict[str, list]:
             border = at - BESIDE  # starts up to here have BESIDE bytes before the anchor, later ones as many behind it
             for a, b, side, x in ((first, min(last, border), 1, border), (max(first, border + 1), last, 2, at)):
                 if a <= b:
-                    out["key"].append(xxhash.xxh3_64_intdigest(raw[x : x + PIECE + BESIDE], side) - (1 << 63))
-                    out["doc"].append(doc)
-                    out["first"].append(a)
-                    out["raw"].append(raw[a : b + LENGTH])
+                    put(xxhash.xxh3_64_intdigest(raw[x : x + PIECE + BESIDE], side) - (1 << 63), doc, a, raw[a : b + LENGTH])
+        for f in sorted(common):
+            for a in range(f >> 16, (f >> 16) + (f >> 8 & 255) + 1):
+                string, here = raw[a : a + LENGTH], (doc, a)
+                before = earliest.setdefault(string, here)
+                if before != here:
+                    later = max(before, here)
+                    earliest[string] = min(before, here)
+                    put(xxhash.xxh3_64_intdigest(string, later[0] & _MASK) - (1 << 63), *later, None)
+    for string, (doc, a) in earliest.items():
+        put(xxhash.xxh3_64_intdigest(string) - (1 << 63), doc, a, _digest(string))
     return out
 
 
@@ -326,7 +377,8 @@ STRINGS = "kind int, doc long, first long, last long, string binary"
 
 
 def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: suffix-sorts groups, many at once; the strings of groups too large go on as digests."""
+    """Rows sorted by key, doc, first: suffix-sorts groups, many at once; the strings of groups too large go on as digests.
+    Of equal digests all but the first become spans; rows without bytes are spans already."""
     schema = arrow_schema(STRINGS)
     ready: list[tuple[int, int, bytes]] = []
     group: list[tuple[int, int, bytes]] = []
@@ -350,12 +402,27 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(len(raw) - LENGTH + 1):
                 doc.append(d)
                 place.append(first + i)
-                digest.append(hashlib.blake2b(raw[i : i + LENGTH], digest_size=16).digest())
+                digest.append(_digest(raw[i : i + LENGTH]))
         n = len(doc)
         return pa.RecordBatch.from_arrays([pa.array(np.full(n, STRING, np.int32)), pa.array(doc, pa.int64()), pa.array(place, pa.int64()), pa.array([p + LENGTH for p in place], pa.int64()), pa.array(digest, pa.binary())], schema=schema)
 
+    first_of: dict[bytes, tuple[int, int]] = {}
+    common_key = None
     for batch in batches:
-        for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        size_of = pc.fill_null(pc.binary_length(batch.column(3)), 0)
+        later = batch.filter(pc.equal(size_of, 0))
+        docs, firsts = (later.column(k).to_pylist() for k in (1, 2))
+        for k, d, f, raw in zip(*(c.to_pylist() for c in batch.filter(pc.and_(pc.greater(size_of, 0), pc.less(size_of, LENGTH))).columns), strict=True):
+            if k != common_key:
+                first_of, common_key = {}, k
+            if first_of.setdefault(raw, (d, f)) != (d, f):
+                docs.append(d)
+                firsts.append(f)
+        if docs:
+            first = np.array(firsts, np.int64)
+            d, a, b = merged_spans(np.array(docs, np.int64), first, first + LENGTH)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), SPAN, np.int32)), pa.array(d), pa.array(a), pa.array(b), pa.nulls(len(d), pa.binary())], schema=schema)
+        for k, *row in zip(*(c.to_pylist() for c in batch.filter(pc.greater_equal(size_of, LENGTH)).columns), strict=True):
             if k != key:
                 if len(group) > 1 and not huge:
                     ready += group
@@ -392,12 +459,14 @@ def _spans(rows: DataFrame) -> DataFrame:
     """doc, first, last (exclusive) of repeats. rows: doc, text."""
     small_batches(rows.sparkSession)
     long = rows.where(F.octet_length("text") >= LENGTH)
-    seen = long.mapInArrow(_seen, SEEN)
-    met = checkpointed(seen.repartition("anchor").sortWithinPartitions("anchor", "content", "doc", "place").mapInArrow(_met, SEEN))
-    listed = met.where("place >= 0").groupBy("doc").agg(F.collect_list("place").alias("found"))
+    common = common_anchors(long)
+    is_common = F.col("anchor").isin(common.tolist()) if len(common) else F.lit(False)
+    dealt = long.mapInArrow(_seen, SEEN).repartition(F.when(is_common, F.xxhash64("anchor", "content")).otherwise(F.col("anchor")))
+    met = checkpointed(dealt.sortWithinPartitions("anchor", "content", "doc", "place").mapInArrow(lambda batches: _met(batches, common), SEEN))
+    listed = met.where("place >= 0").groupBy("doc").agg(F.collect_list(F.when(~is_common, F.col("place"))).alias("found"), F.collect_list(F.when(is_common, F.col("place"))).alias("common"))
     ddl = "key long, doc long, first long, raw binary"
-    parts = arrow_map(squeezed(long, "text").join(listed, "doc").select("doc", "text", "found"), _cut, arrow_schema(ddl), ddl)
-    out = checkpointed(parts.repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_out, STRINGS))
+    parts = arrow_map(squeezed(long, "text").join(listed, "doc").select("doc", "text", "found", "common"), _cut, arrow_schema(ddl), ddl, gather=TOGETHER)
+    out = checkpointed(parts.repartition("key").sortWithinPartitions("key", "doc", "first").mapInArrow(_sorted_out, STRINGS))
     spans = met.where("place < 0").select("doc", (-1 - F.col("place")).alias("first"), F.col("content").alias("last")).union(out.where(F.col("kind") == SPAN).select("doc", "first", "last"))
     strings = out.where(F.col("kind") == STRING)
     if strings.limit(1).count():
