@@ -182,6 +182,24 @@ def test_recall_and_scores(spark):
     assert np.mean([len(set(got[i]) & set(want[i])) / 20 for i in got]) >= 0.9
 
 
+def test_recall_beside_a_tight_cluster(spark):
+    """A third of all vectors lie close together, so their nodes get more edges back than one pruning looks at; several vectors of one id."""
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=24)
+    x = np.concatenate([centre + 0.02 * rng.normal(size=(1200, 24)), rng.normal(size=(2400, 24))])
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame([*rows, (3, rows[900][1]), (3, rows[3][1])], "vec_id long, embedding array<float>")
+    rows[3] = (3, min(rows[3][1], rows[900][1]))
+    v = ann.valid(df)
+    out = ann.search(ann.index(v, shard_size=2000), v.where("vec_id % 20 = 0")).collect()
+    want = brute_nearest(rows, 20)
+    found = {}
+    for r in out:
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert len(found) == 180
+    assert np.mean([len(found[q] & set(want[q])) / 20 for q in found]) >= 0.9
+
+
 def test_few_vectors_ties_and_odd_ones(spark):
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), *((i, [0.5, 0.5]) for i in range(1, 15)), (40, [0.0, 0.0]), (60, None), (80, [1.0, None]), (100, [float("nan"), 1.0]), (120, [float("inf"), 1.0]), (140, []), (160, [1.0, 2.0, 3.0]), (7, [0.5, 0.5]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")

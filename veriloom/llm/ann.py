@@ -5,29 +5,36 @@ that can matter). Vectors are dealt to shards by hash, as many shards as their c
 SHARD nodes each. In a shard, inner products become distances by one more coordinate that makes
 all lengths equal. The graph grows in batches: a greedy beam search from the entry points proposes
 neighbours of each new node, and relaxed pruning keeps a neighbour only if no kept one is closer to
-it by the factor ALPHA; the edges back are pruned alike. Queries are searched by beam in each shard,
-in blocks, and merged. Scores are taken anew in double precision on the original vectors.
+it by the factor ALPHA; the edges back are pruned alike, BACK at a time until all have been seen.
+Queries are searched by beam in each shard: a shard is followed by its queries in one sorted stream,
+so it crosses the network once for each BLOCK of queries, and what is found is merged. Scores are
+taken anew in double precision on the original vectors.
 
 Defined results: vectors that are null, empty, all zeros or hold null or non-finite components take
 no part; vectors of different lengths never meet; rows that repeat an id count once, with the least
 vector; ties go to the smaller id; fewer candidates give fewer rows; an empty table gives none; other
-columns are not looked at. Memory: a shard of SHARD nodes and a block of BLOCK queries.
+columns are not looked at. Memory: a shard of SHARD nodes and a batch of queries.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import checkpointed
+from veriloom.llm.common import checkpointed, small_batches
 
-#: Nodes of a shard, about; queries of a block.
-SHARD, BLOCK = 12_288, 4_096
+#: Nodes of a shard, about; queries that follow one copy of a shard.
+SHARD, BLOCK = 12_288, 1 << 18
 #: Edges of a node, beam when building and when searching, nodes expanded at a step, relaxation, entry points.
 DEGREE, BUILD_BEAM, BEAM, STEP, ALPHA, ENTRIES = 32, 48, 128, 4, 1.2, 16
 BATCH, FIRST = 512, 128
+#: Edges back that a node's pruning looks at beside those it has.
+BACK = 64
 
 
 def spread_evenly(n: int, k: int) -> np.ndarray:
@@ -124,14 +131,17 @@ def build(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         o = np.argsort(to, kind="stable")
         by, to = by[o], to[o]
         nodes, start, count = np.unique(to, return_index=True, return_counts=True)
-        back = np.full((len(nodes), DEGREE + min(int(count.max()), 64)), -1, np.int32)
-        back[:, :DEGREE] = np.where(graph[nodes] == n, -1, graph[nodes])
         place = np.arange(len(to)) - np.repeat(start, count)
-        fits = place < back.shape[1] - DEGREE
-        back[np.repeat(np.arange(len(nodes)), count)[fits], DEGREE + place[fits]] = by[fits]
-        for a in range(0, len(nodes), BATCH):
-            part = prune(x, nodes[a : a + BATCH], back[a : a + BATCH], DEGREE)
-            graph[nodes[a : a + BATCH]] = np.where(part < 0, n, part)
+        for low in range(0, int(count.max(initial=0)), BACK):
+            some = nodes[count > low]
+            back = np.full((len(some), DEGREE + BACK), -1, np.int32)
+            back[:, :DEGREE] = np.where(graph[some] == n, -1, graph[some])
+            now = (place >= low) & (place < low + BACK)
+            back[np.searchsorted(some, to[now]), DEGREE + place[now] - low] = by[now]
+            back = back[:, : DEGREE + min(int(count.max()) - low, BACK)]
+            for a in range(0, len(some), BATCH):
+                part = prune(x, some[a : a + BATCH], back[a : a + BATCH], DEGREE)
+                graph[some[a : a + BATCH]] = np.where(part < 0, n, part)
 
     first = order[:FIRST]
     join(first, prune(x, first, np.tile(first, (FIRST, 1)), DEGREE))
@@ -180,41 +190,63 @@ def index(vectors: DataFrame, neighbours: int = 20, shard_size: int = SHARD) ->
 FOUND = "query_id long, vec_id long, score double"
 
 
+class Shard:
+    """A row of the index, ready for queries."""
+
+    def __init__(self, row: dict):
+        self.n = row["n"]
+        self.x = np.frombuffer(row["vectors"], np.float32).reshape(self.n, -1)
+        self.graph = np.frombuffer(row["graph"], np.int32).reshape(self.n + 1, -1)
+        self.entries, self.ids, group = (np.frombuffer(row[c], t) for c, t in (("entries", np.int32), ("ids", np.int64), ("groups", np.int32)))
+        self.by = np.argsort(group, kind="stable")  # ids of a node, ascending
+        self.start = np.searchsorted(group[self.by], np.arange(self.n + 1))
+
+    def nearest(self, queries: np.ndarray, q: np.ndarray, neighbours: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """query_id, vec_id and score of the nearest found."""
+        out = []
+        for a in range(0, len(q), BATCH):
+            near, _ = beam_search(self.x, self.graph, self.entries, q[a : a + BATCH], max(beam, neighbours + 1))
+            for query, vector, nodes in zip(queries[a : a + BATCH], q[a : a + BATCH], near, strict=True):
+                nodes = nodes[nodes >= 0]
+                exact = self.x[nodes].astype(np.float64) @ vector.astype(np.float64)
+                members = [self.by[self.start[i] : self.start[i + 1]] for i in nodes]
+                who, score = self.ids[np.concatenate(members)], np.repeat(exact, [len(m) for m in members])
+                own = who != query
+                who, score = who[own], score[own]
+                best = np.lexsort((who, -score))[:neighbours]
+                out.append((np.full(len(best), query), who[best], score[best]))
+        return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
 def search(shards: DataFrame, queries: DataFrame, neighbours: int = 20, beam: int = BEAM, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id and score. queries: rows of valid(); every query against every shard of its length, in blocks."""
+    """query_id, rank, vec_id and score. queries: rows of valid(); every query against every shard of its length."""
+    small_batches(shards.sparkSession)
     shards = checkpointed(shards)
-    n = queries.count()
-    blocks = max(1, -(-n // block))
-    asked_of = queries.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
-    dealt = asked_of.join(shards.select("dim", (F.col("shard") + 0).alias("shard")), "dim")  # an expression, so that the cogroup tells its two sides apart
+    blocks = max(1, -(-queries.count() // block))
+    many = F.lit(0)
+    for r in shards.groupBy("dim").agg(F.max("shard").alias("last")).collect():  # one row for each length of vectors
+        many = F.when(F.col("dim") == r["dim"], F.lit(r["last"] + 1)).otherwise(many)
+    asked = queries.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+    asked = asked.withColumn("many", many).where("many > 0").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("many") - 1))).drop("many")
     held = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def look(shard: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if len(shard) and len(asked):
-            s = shard.iloc[0]
-            x = np.frombuffer(s["vectors"], np.float32).reshape(s["n"], -1)
-            graph = np.frombuffer(s["graph"], np.int32).reshape(s["n"] + 1, -1)
-            entries, ids, group = (np.frombuffer(s[c], t) for c, t in (("entries", np.int32), ("ids", np.int64), ("groups", np.int32)))
-            by = np.argsort(group, kind="stable")  # ids of a node, ascending
-            start = np.searchsorted(group[by], np.arange(s["n"] + 1))
-            q = np.stack(asked["v"].to_numpy()).astype(np.float32)
-            for a in range(0, len(q), BATCH):
-                near, _ = beam_search(x, graph, entries, q[a : a + BATCH], max(beam, neighbours + 1))
-                for query, vector, nodes in zip(asked["vec_id"].to_numpy()[a : a + BATCH], q[a : a + BATCH], near, strict=True):
-                    nodes = nodes[nodes >= 0]
-                    exact = x[nodes].astype(np.float64) @ vector.astype(np.float64)
-                    members = [by[start[i] : start[i + 1]] for i in nodes]
-                    who = ids[np.concatenate(members)]
-                    score = np.repeat(exact, [len(m) for m in members])
-                    own = who != query
-                    who, score = who[own], score[own]
-                    best = np.lexsort((who, -score))[:neighbours]
-                    out["query_id"].append(np.full(len(best), query))
-                    out["vec_id"].append(who[best])
-                    out["score"].append(score[best])
-        return pd.DataFrame({k: np.concatenate(v) if v else [] for k, v in out.items()})
-
-    found = held.groupBy("dim", "shard", "block").cogroup(dealt.groupBy("dim", "shard", "block")).applyInPandas(look, FOUND)
+    stream = held.withColumn("kind", F.lit(0)).unionByName(asked.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    place = ("dim", "shard", "block", "kind")
+    stream = stream.repartition("dim", "shard", "block").sortWithinPartitions(*place)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, shard = None, None
+        for batch in batches:
+            keys = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in place], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                here, part = tuple(keys[a, :3].tolist()), batch.slice(a, b - a)
+                if keys[a, 3] == 0:
+                    at, shard = here, Shard(part.slice(0, 1).to_pylist()[0])
+                elif at == here:  # else no vector fell to the shard
+                    q = np.array(part.column(part.schema.get_field_index("v")).to_pylist(), np.float32)
+                    ids = part.column(part.schema.get_field_index("vec_id")).to_numpy()
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in shard.nearest(ids, q, neighbours, beam)], names=["query_id", "vec_id", "score"])
+
+    found = stream.mapInArrow(look, FOUND)
     nearest = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")

@@ -38,7 +38,9 @@ from veriloom.llm.common import Remembered, arrow_map, arrow_schema, fold, keep_
 SAMPLE, SAMPLE_BYTES, ROUNDS = 400, 64 << 20, 3
 LEARN_MODULUS, HELD_OUT = 5, 0
 #: Characters of a word scored beside others; of a section of a longer one; words that a posterior counts; bytes of words remembered; bytes of text whose words are scored at once.
-LONGEST, SECTION, EVIDENCE, CACHE, GATHER = 32, 1 << 16, 20, 96 << 20, 4 << 20
+LONGEST, SECTION, EVIDENCE, CACHE, GATHER = 32, 1 << 16, 20, 64 << 20, 4 << 20
+#: Words whose lattices are held at once.
+WORDS = 8_192
 MARK, UNKNOWN, UND = "▁", 1e-6, "und"
 BASE, SPREAD, BITS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), 22
 
@@ -188,8 +190,8 @@ def learn(counts: dict[str, Counter], path: str, rounds: int = ROUNDS) -> Model:
     p = np.full((matcher.size, len(langs)), 1 / matcher.size)
     for _ in range(rounds if words else 0):
         seen = np.zeros_like(p)
-        for at in range(0, len(words), 20_000):
-            lattice = matcher.lattice(words[at : at + 20_000])
+        for at in range(0, len(words), WORDS):
+            lattice = matcher.lattice(words[at : at + WORDS])
             begin, end, start, length, piece, _ = lattice
             alpha, runs = forward(lattice, p)
             total = alpha[len(alpha) - len(begin) :]
@@ -197,7 +199,7 @@ def learn(counts: dict[str, Counter], path: str, rounds: int = ROUNDS) -> Model:
             word = np.searchsorted(begin, np.arange(len(beta)), side="right") - 1
             is_end = np.zeros(len(beta), bool)
             is_end[end] = True
-            weight = n[at : at + 20_000] / total
+            weight = n[at : at + WORDS] / total
             for a, b in reversed(runs):
                 to = start[a:b] + length[a:b]
                 after = np.where(is_end[to][:, None], 1.0, beta[to])
@@ -222,8 +224,8 @@ class Scorer:
     def known(self, words: set[str]) -> dict[str, np.ndarray]:
         """Scores words that are new, and gives those too long to remember."""
         new = sorted(w for w in words if w not in self.row and len(w) <= LONGEST)
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
+        for at in range(0, len(new), WORDS):
+            some = new[at : at + WORDS]
             n = len(self.row)
             while n + len(some) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])

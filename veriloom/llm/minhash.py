@@ -301,7 +301,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     placed = buckets.where("members > 2").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    members = placed.join(open_, "band", "left_semi").select("band", "node", "component")
+    members = compact(checkpointed(placed.join(open_, "band", "left_semi").select("band", "node", "component")))  # apart from the join's partitions by band, so that counts combine before their shuffle
     payload = light.select("node", "n_shingles", "signature", F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("bands"))
     left = compact(checkpointed(_by_group(members, payload, _open_members, ("band", "node")).distinct()))
     if left.limit(1).count():

@@ -17,14 +17,15 @@ Memory: one batch of texts; the model is below 1 MB.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 
 import numpy as np
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import arrow_map, arrow_schema, fold, keep_rows, least_hashed, small_batches, within_bytes
+from veriloom.llm.common import arrow_map, arrow_schema, fold, keep_rows, least_hashed, small_batches, tools, within_bytes
 
 #: Labelled rows of each kind that are learnt from, at most; half for the dictionary, half for the curve.
 SAMPLE, SAMPLE_BYTES = 1200, 64 << 20
@@ -40,6 +41,7 @@ class Model:
     weights: np.ndarray
     middle: np.ndarray
     spread: np.ndarray
+    token: str = field(default_factory=lambda: uuid.uuid4().hex)  # tells models apart in workers
 
     def compressors(self) -> list[zstandard.ZstdCompressor]:
         out = []
@@ -120,19 +122,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "
     return fit(texts[0], texts[1], n.get(1, 0) / sum(n.values()) if n else 0.5)
 
 
+def _compressors(model: Model) -> list[zstandard.ZstdCompressor]:
+    return tools(f"quality {model.token}", model.compressors)
+
+
 SCORED = "doc_id long, score double, predicted int"
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score and predicted of every row."""
     small_batches(docs.sparkSession)
-    held: list = []  # compressors of this task
 
     def rows(batch):
-        if not held:
-            held.extend(model.compressors())
         ids, texts = (c.to_pylist() for c in batch.columns)
-        s = model.scores(measured([t or "" for t in texts], held))
+        s = model.scores(measured([t or "" for t in texts], _compressors(model)))
         return {"doc_id": ids, "score": s.tolist(), "predicted": (s >= DECISION).astype(int).tolist()}
 
     return arrow_map(docs.select(key, text), rows, arrow_schema(SCORED), SCORED)
@@ -141,11 +144,8 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 def keep(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
     """Rows of at least this score."""
     small_batches(docs.sparkSession)
-    held: list = []
 
     def good(texts):
-        if not held:
-            held.extend(model.compressors())
-        return (model.scores(measured([t or "" for t in texts], held)) >= least).tolist()
+        return (model.scores(measured([t or "" for t in texts], _compressors(model))) >= least).tolist()
 
     return keep_rows(docs, text, good)

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veriloom.llm.common import arrow_map, arrow_schema, checkpointed, gathered, small_batches, unused
+from veriloom.llm.common import arrow_map, arrow_schema, checkpointed, gathered, small_batches, tools, unused
 
 LENGTH = 100
 #: Bytes of an anchor; starts that share one at most; bytes beside the anchor that the second cut adds.
@@ -239,6 +239,7 @@ SEEN = "anchor long, content long, doc long, place long"
 
 def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes]]:
     """Documents and bytes of texts, in order of the documents."""
+    tools("suffix", dict)
     docs = batch.column(0).to_numpy()
     order = np.argsort(docs, kind="stable")
     texts = batch.column(1).to_pylist()
