@@ -5,7 +5,8 @@ that can matter). Vectors are dealt to shards by hash, as many shards as their c
 SHARD nodes each. In a shard, inner products become distances by one more coordinate that makes
 all lengths equal. The graph grows in batches: a greedy beam search from the entry points proposes
 neighbours of each new node, and relaxed pruning keeps a neighbour only if no kept one is closer to
-it by the factor ALPHA; the edges back are pruned alike, BACK at a time until all have been seen.
+it by the factor ALPHA; the edges back are pruned alike, BACK at a time until all have been seen;
+nodes that no edge leads to are entry points as well.
 Queries are searched by beam in each shard: a shard is followed by its queries in one sorted stream,
 so it crosses the network once for each BLOCK of queries, and what is found is merged. Scores are
 taken anew in double precision on the original vectors.
@@ -153,7 +154,9 @@ def build(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found, _ = beam_search(x, graph, entries, x[points], BUILD_BEAM)
         join(points, prune(x, points, found, DEGREE))
         at += len(points)
-    return graph, order[spread_evenly(n, ENTRIES)]
+    reached = np.zeros(n + 1, bool)
+    reached[graph[:n]] = True
+    return graph, np.union1d(order[spread_evenly(n, ENTRIES)], np.flatnonzero(~reached[:n]))
 
 
 INDEX = "dim int, shard int, n int, ids binary, groups binary, vectors binary, graph binary, entries binary"
