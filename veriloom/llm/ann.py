@@ -6,7 +6,7 @@ SHARD nodes each. In a shard, inner products become distances by one more coordi
 all lengths equal. The graph grows in batches: a greedy beam search from the entry points proposes
 neighbours of each new node, and relaxed pruning keeps a neighbour only if no kept one is closer to
 it by the factor ALPHA; the edges back are pruned alike, BACK at a time until all have been seen;
-nodes that no edge leads to are entry points as well.
+a node that no edge leads to gets one more edge from a neighbour of its own.
 Queries are searched by beam in each shard: a shard is followed by its queries in one sorted stream,
 so it crosses the network once for each BLOCK of queries, and what is found is merged. Scores are
 taken anew in double precision on the original vectors.
@@ -32,7 +32,7 @@ from veriloom.llm.common import checkpointed, small_batches
 #: Nodes of a shard, about; queries that follow one copy of a shard.
 SHARD, BLOCK = 12_288, 1 << 18
 #: Edges of a node, beam when building and when searching, nodes expanded at a step, relaxation, entry points.
-DEGREE, BUILD_BEAM, BEAM, STEP, ALPHA, ENTRIES = 32, 48, 128, 4, 1.2, 16
+DEGREE, BUILD_BEAM, BEAM, STEP, ALPHA, ENTRIES = 32, 48, 192, 4, 1.2, 16
 BATCH, FIRST = 512, 128
 #: Edges back that a node's pruning looks at beside those it has.
 BACK = 64
@@ -154,9 +154,23 @@ def build(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found, _ = beam_search(x, graph, entries, x[points], BUILD_BEAM)
         join(points, prune(x, points, found, DEGREE))
         at += len(points)
-    reached = np.zeros(n + 1, bool)
-    reached[graph[:n]] = True
-    return graph, np.union1d(order[spread_evenly(n, ENTRIES)], np.flatnonzero(~reached[:n]))
+    return reachable(graph), order[spread_evenly(n, ENTRIES)]
+
+
+def reachable(graph: np.ndarray) -> np.ndarray:
+    """The graph with more columns, in which every node that no edge leads to gets one from a neighbour of its own, the one that gave the fewest."""
+    n = len(graph) - 1
+    led = np.zeros(n + 1, bool)
+    led[graph[:n]] = True
+    given: dict[int, list[int]] = {}
+    for v in np.flatnonzero(~led[:n]).tolist():
+        by = min((u for u in graph[v].tolist() if u != n), key=lambda u: len(given.get(u, ())), default=None)
+        if by is not None:
+            given.setdefault(by, []).append(v)
+    more = np.full((n + 1, max(map(len, given.values()), default=0)), n, graph.dtype)
+    for u, vs in given.items():
+        more[u, : len(vs)] = vs
+    return np.concatenate([graph, more], axis=1)
 
 
 INDEX = "dim int, shard int, n int, ids binary, groups binary, vectors binary, graph binary, entries binary"
