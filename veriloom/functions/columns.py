@@ -181,6 +181,17 @@ def display(value: str | Column, low: str | Column, high: str | Column, percent:
     return F.when(a.isNull() | b.isNull(), F.format_string(plain, v * k)).otherwise(F.format_string(full, v * k, a * k, b * k))
 
 
+EXPERIMENT = ("author_type", "proposition_type", "fact_type")
+
+
+def experiment_group(name: str | Column, order: tuple[str, ...] = ("author", "proposition", "fact")) -> Column:
+    """Author, kind of proposition and kind of fact that a run's name tells of, as a struct; null where it doesn't."""
+    t = F.lower(col(name))
+    found = {"author": ("llm", "human"), "proposition": ("claim", "sentence"), "fact": ("claim", "sentence")}
+    pick = lambda field, kinds: reduce(lambda w, k: w.when(F.regexp_like(t, F.lit(rf"(^|[,_/ ]){field}[a-z_]*[=_]{k}")), k), kinds[1:], F.when(F.regexp_like(t, F.lit(rf"(^|[,_/ ]){field}[a-z_]*[=_]{kinds[0]}")), kinds[0]))
+    return F.struct(*(pick(f, found[f]).alias(f) for f in order))
+
+
 def any_columns(test, *columns: str) -> Column:
     """Whether a test holds for any of the columns."""
     return reduce(lambda a, b: a | b, (test(c) for c in columns))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriloom.functions.columns import rounded
-from veriloom.operators.agreement import bootstrap_items
+from veriloom.operators.agreement import bootstrap_items, bootstrap_sums, intervals
 
 MEASURES = ("tpr", "tnr", "ppv", "npv")
+COUNTS = ("tp", "fp", "fn", "tn", "support")
 
 
 def confusion_matrix(rows: DataFrame, labels: list, by: list[str] = (), normalize: bool = False) -> DataFrame:
@@ -56,3 +59,28 @@ def bootstrap(rows: DataFrame, labels: list, draws: int) -> DataFrame:
     """draw, label and measures; truth and prediction of an item are drawn together. rows: item, y_true, y_pred."""
     times = bootstrap_items(rows, draws)
     return one_vs_rest(rows.join(times, "item"), labels, ["draw"], "times")
+
+
+def bootstrap_measures(rows: DataFrame, labels: list, draws: int = 1000, seed: int = 0) -> DataFrame:
+    """label, metric_name, value, bounds, se and p-value of the four measures and the five counts. rows: item, y_true, y_pred."""
+    known = rows.where("y_true is not null and y_pred is not null")
+    cell = [F.sum(F.when((F.col("y_true") == a) & (F.col("y_pred") == b), 1.0).otherwise(0.0)) for a in labels for b in labels]
+    items = known.groupBy("item").agg(F.array(*cell).alias("stats"))
+    whole = items.select(F.posexplode("stats").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("sums"))
+    point, drawn = _measured(whole, labels), _measured(bootstrap_sums(items, draws, seed), labels)
+    return intervals(drawn, point, ["label"])
+
+
+def _measured(sums: DataFrame, labels: list) -> DataFrame:
+    """The columns besides sums, label, measures and counts, from sums of cells (truth by prediction)."""
+    n = len(labels)
+    at = lambda i: F.get("sums", F.lit(i))
+    add = lambda cells: reduce(lambda a, b: a + b, map(at, cells), F.lit(0.0))
+    each = []
+    for k, label in enumerate(labels):
+        tp, row, column = at(k * n + k), add(range(k * n, k * n + n)), add(range(k, n * n, n))
+        each.append(F.struct(F.lit(label).alias("label"), tp.alias("tp"), (column - tp).alias("fp"), (row - tp).alias("fn"), (add(range(n * n)) - row - column + tp).alias("tn"), row.alias("support")))
+    rest = [c for c in sums.columns if c != "sums"]
+    out = sums.select(*rest, F.explode(F.array(*each)).alias("c")).select(*rest, "c.*")
+    ratio = lambda a, b: F.when(F.col(a) + F.col(b) > 0, F.col(a) / (F.col(a) + F.col(b)))
+    return out.select(*rest, "label", ratio("tp", "fn").alias("tpr"), ratio("tn", "fp").alias("tnr"), ratio("tp", "fp").alias("ppv"), ratio("tn", "fn").alias("npv"), *COUNTS)

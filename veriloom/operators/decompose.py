@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,9 +23,9 @@ def sentence_nodes(docs: DataFrame, key: str, text: str, splitter=None) -> DataF
     return nodes.withColumns({"prev_id": F.lag("node_id").over(by), "next_id": F.lead("node_id").over(by), "num_characters": F.length("text").cast("long"), "num_tokens": token_count("text")})
 
 
-def sentence_windows(rows: DataFrame, doc: str, order: str, text: str, buffer: int = 3) -> DataFrame:
+def sentence_windows(rows: DataFrame, doc: str, order: str | list, text: str, buffer: int = 3) -> DataFrame:
     """Each sentence with so many before and after it."""
-    near = Window.partitionBy(doc).orderBy(order).rowsBetween(-buffer, buffer)
+    near = Window.partitionBy(doc).orderBy(*([order] if isinstance(order, str) else order)).rowsBetween(-buffer, buffer)
     return rows.withColumn("window_text", F.array_join(F.collect_list(text).over(near), ""))
 
 
@@ -42,43 +44,91 @@ def chunks(rows: DataFrame, doc: str, order: str, text: str) -> DataFrame:
     return rows.groupBy(doc, "chunk").agg(F.array_join(parts, "").alias("chunk_text"), F.count(F.lit(1)).alias("n_rows"))
 
 
-def semantic_split(pieces: list[str], most: int, embed, size=lambda t: len(backends.word_list(t)), percentile: float = 90, buffer: int = 3, shrink: float = 0.75) -> list[str]:
-    """Recursive chunks below the limit: cut at large distances of neighbouring windows, else in halves by size."""
-    whole = "".join(pieces)
-    if size(whole) <= most or len(pieces) < 2:
-        return [whole]
-    windows = ["".join(pieces[max(0, i - buffer) : i + buffer + 1]) for i in range(len(pieces))]
-    vectors = [v for v, _ in embed(windows)]
-    far = [1 - sum(a * b for a, b in zip(x, y, strict=True)) for x, y in zip(vectors, vectors[1:], strict=False)]
-    ordered, at = sorted(far), (len(far) - 1) * percentile / 100
-    low = int(at)
-    limit = ordered[low] + (ordered[min(low + 1, len(far) - 1)] - ordered[low]) * (at - low)
-    parts, held = [], []
-    for piece, d in zip(pieces, [*far, -1.0], strict=True):
-        held.append(piece)
-        if d > limit:
-            parts.append(held)
-            held = []
-    parts.append(held)
-    if max(size("".join(p)) for p in parts if p) >= shrink * size(whole):
-        half, n = size(whole) / 2, 0.0
-        parts = [[], []]
-        for piece in pieces:
-            parts[n >= half and bool(parts[0])].append(piece)
-            n += size(piece)
-        if not parts[1]:
-            parts = [pieces[: len(pieces) // 2], pieces[len(pieces) // 2 :]]
-    return [c for p in parts if p for c in semantic_split(p, most, embed, size, percentile, buffer, shrink)]
-
-
-def semantic_chunks(docs: DataFrame, key: str, text: str, most: int = 128, embedder: backends.Embedder | None = None) -> DataFrame:
+def packed(pieces: list[str], most: int, size) -> list[str]:
+    """The backup: pieces packed in order up to the limit; a piece beyond it is cut between words, and a word beyond it stays whole."""
+    parts = [p for piece in pieces for p in ([piece] if size(piece) <= most else re.findall(r"\s*\S+\s*", piece) or [piece])]
+    out, held = [], ""
+    for part in parts:
+        if held and size(held + part) > most:
+            out.append(held)
+            held = ""
+        held += part
+    return [*out, held] if held else out
+
+
+class _Windows:
+    """Windows of neighbouring pieces as vectors, and sizes of runs of pieces. Embedders that can count a piece's words do so once; windows are then sums."""
+
+    def __init__(self, pieces: list[str], embed, size, buffer: int):
+        self.pieces, self.embed, self.size, self.buffer = pieces, embed, size, buffer
+        self.sums = None
+        if isinstance(getattr(embed, "__self__", None), backends.HashedWords):
+            counts, n = embed.__self__.counts(pieces)
+            self.sums = np.concatenate([np.zeros((1, counts.shape[1])), np.cumsum(counts, axis=0)])
+            self.words = np.concatenate([[0], np.cumsum(n)])
+
+    def length(self, a: int, b: int) -> int:
+        return int(self.words[b] - self.words[a]) if self.sums is not None and self.size is None else (self.size or backends.count_words)("".join(self.pieces[a:b]))
+
+    def distances(self, a: int, b: int) -> np.ndarray:
+        """One less the cosine, of each window of the pieces a..b with the next."""
+        at = np.arange(a, b)
+        low, high = np.maximum(a, at - self.buffer), np.minimum(b, at + self.buffer + 1)
+        if self.sums is not None:
+            v = self.sums[high] - self.sums[low]
+            v = v / np.maximum(np.sqrt((v * v).sum(axis=1)), 1e-300)[:, None]
+        else:
+            v = np.array([e for e, _ in self.embed(["".join(self.pieces[i:j]) for i, j in zip(low.tolist(), high.tolist(), strict=True)])])
+        return 1 - (v[:-1] * v[1:]).sum(axis=1)
+
+
+def semantic_split(pieces: list[str], most: int, embed, size=None, percentile: float = 90, buffer: int = 3, shrink: float = 0.75, force: bool = False) -> list[str]:
+    """Chunks below the limit: cut at large distances of neighbouring windows, again within chunks that reach the limit.
+
+    A chunk that isn't smaller than shrink of what it was cut from goes to the backup, packed(), and if that leaves it
+    whole, again with half the limit. A text up to the limit is one chunk unless forced. size: tokens of a text, else words."""
+    if not pieces:
+        return []
+    w = _Windows(pieces, embed, size, buffer)
+    if w.length(0, len(pieces)) <= most and not force:
+        return ["".join(pieces)]
+    count, out, todo = size or backends.count_words, [], [(0, len(pieces))]
+    while todo:  # in order: the next run to cut is the last of the list
+        a, b = todo.pop()
+        cuts = [a, b]
+        if b - a > 1:
+            far = w.distances(a, b)
+            cuts = [a, *(np.flatnonzero(far > np.percentile(far, percentile)) + a + 1).tolist(), b]
+        found, again = [], []
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if w.length(i, j) < most:
+                found.append((i, j, "".join(pieces[i:j])))
+            elif w.length(i, j) < shrink * w.length(a, b):
+                again.append((i, j))
+                found.append((i, j, None))
+            else:
+                parts = packed(pieces[i:j], most, count)
+                parts = packed(pieces[i:j], max(1, most // 2), count) if len(parts) == 1 else parts
+                found += [(i, j, p) for p in parts]
+        out.append(found)
+        todo += again[::-1]
+    whole = {}
+    for found in reversed(out):  # a run cut further stands for its parts
+        made = []
+        for i, j, text in found:
+            made += [text] if text is not None else whole.pop((i, j))
+        whole[found[0][0], found[-1][1]] = made
+    return whole[0, len(pieces)]
+
+
+def semantic_chunks(docs: DataFrame, key: str, text: str, most: int = 128, embedder: backends.Embedder | None = None, size=None, force: bool = False) -> DataFrame:
     """key, chunk number and text; a document is split within its task, one at a time."""
     model = embedder or backends.HashedWords()
     cut = docs.select(F.col(key).cast("long").alias("doc"), sentences(F.coalesce(F.col(text), F.lit(""))).alias("pieces"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(doc, i, c) for doc, pieces in zip(frame["doc"], frame["pieces"], strict=True) if len(pieces) for i, c in enumerate(semantic_split(list(pieces), most, model.embed))]
+            rows = [(doc, i, c) for doc, pieces in zip(frame["doc"], frame["pieces"], strict=True) if len(pieces) for i, c in enumerate(semantic_split(list(pieces), most, model.embed, size, force=force))]
             yield pd.DataFrame(rows, columns=["doc", "chunk", "chunk_text"])
 
     return cut.mapInPandas(run, "doc long, chunk long, chunk_text string")
@@ -122,16 +172,40 @@ def judge(df: DataFrame, text: str, reference: str, backend: backends.Judge | No
     return df.withColumn("__v", told(text, reference)).withColumns({"verdict": valid_verdict("__v.verdict"), "reason": F.col("__v.reason")}).drop("__v")
 
 
-def validity_flags(df: DataFrame, text: str) -> DataFrame:
-    names = list(backends.validity(""))
+def validity_flags(df: DataFrame, text: str, backend: object | None = None) -> DataFrame:
+    """Adds six flags of a statement: by rules as columns, or by a backend with flags() in batches."""
+    if backend is None:
+        return df.withColumns(backends.validity_columns(text))
+    names = list(backends.validity_columns(text))
 
     @F.pandas_udf(", ".join(f"{n} boolean" for n in names))
-    def flags(t: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([backends.validity(x) for x in t], columns=names)
+    def flags(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            yield pd.DataFrame(backend.flags([x or "" for x in t]), columns=names).astype(object)
 
     return df.withColumn("__f", flags(text)).select(*df.columns, *(F.col(f"__f.{n}").alias(n) for n in names))
 
 
+def explained(verdicts: DataFrame, by: list[str], backend: backends.Explainer | None = None, together: int = 50) -> DataFrame:
+    """by, verdict, explanation: the reasons of each verdict summed up, so many at a time, and then the sums alike. rows: by, verdict, reason."""
+    model, keys = backend or backends.CommonReasons(), [*by, "verdict"]
+    rows = verdicts.where("verdict is not null").select(*keys, F.coalesce("reason", F.lit("")).alias("explanation"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    ddl = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", explanation string"
+
+    def some(pdf: pd.DataFrame) -> pd.DataFrame:
+        reasons = sorted(pdf["explanation"])
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "explanation": [model.explain(str(pdf["verdict"].iloc[0]), reasons)]})
+
+    most = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    while True:  # each round leaves one row where there were about `together`
+        groups = max(1, -(-most // together))
+        rows = rows.withColumn("__g", F.pmod(F.xxhash64("explanation"), F.lit(groups))).groupBy(*keys, "__g").applyInPandas(some, ddl)
+        if groups == 1:
+            return rows
+        most = groups
+
+
 def repacked(df: DataFrame, group: str, order: str, size: str, most: int) -> DataFrame:
     """Greedy packing in order: a part that no longer fits begins the next pack; oversized parts stand alone. Adds pack (from 0)."""
     items = df.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(order), F.col(size).cast("long").alias("size")))).alias("items"))
@@ -148,14 +222,39 @@ def repacked(df: DataFrame, group: str, order: str, size: str, most: int) -> Dat
 
 
 def written(df: DataFrame, group: str, order: str, text: str, limit: int = 200, writer: backends.Writer | None = None) -> DataFrame:
-    """Summaries folded in order: each text is compacted with what was written before. One group at a time."""
+    """Summaries folded in order: each text is compacted with what was written before. Ties in order go by text.
+
+    Groups lie together and sorted, and are streamed, so only what is written so far is held."""
+    model, kind = writer or backends.FirstSentences(), dict(df.dtypes)[group]
+    lying = df.select(group, order, F.coalesce(text, F.lit("")).alias("__t")).repartition(group).sortWithinPartitions(group, order, "__t")
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, out, some = None, "", False
+        for frame in frames:
+            done = []
+            for g, t in zip(frame[group], frame["__t"], strict=True):
+                if some and g != at and not (pd.isna(g) and pd.isna(at)):
+                    done.append((at, out))
+                    out = ""
+                at, some = g, True
+                out = model.write([out, t] if out else [t], limit)
+            yield pd.DataFrame(done, columns=[group, "written"])
+        if some:
+            yield pd.DataFrame([(at, out)], columns=[group, "written"])
+
+    return lying.mapInPandas(fold, f"{group} {kind}, written string")
+
+
+def course(df: DataFrame, group: str, order: str, text: str, limit: int = 200, pack: int = 1000, writer: backends.Writer | None = None) -> DataFrame:
+    """Each text summed up, the summaries packed in order up to so many words, each pack combined, and the packs folded."""
     model = writer or backends.FirstSentences()
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = ""
-        for t in pdf.sort_values(order, kind="stable")[text].fillna(""):
-            out = model.write([out, t] if out else [t], limit)
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "written": [out]})
+    @F.pandas_udf("string")
+    def short(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for t in batches:
+            yield pd.Series([model.write([x], limit) if x else "" for x in t])
 
-    kind = dict(df.dtypes)[group]
-    return df.select(group, order, text).groupBy(group).applyInPandas(fold, f"{group} {kind}, written string")
+    summed = df.select(group, order, short(F.coalesce(text, F.lit(""))).alias("summary")).where(F.length("summary") > 0).withColumn("size", F.size(F.split(F.trim("summary"), r"\s+")))
+    packs = repacked(summed, group, order, "size", pack).join(summed.select(group, order, "summary"), [group, order])
+    joined = packs.groupBy(group, "pack").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "summary"))), lambda e: e["summary"]), "\n\n").alias("text"))
+    return written(joined.withColumn("text", short("text")), group, "pack", "text", limit, model)

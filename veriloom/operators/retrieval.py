@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,17 +29,21 @@ def condition(field: str, op: str, value) -> Column:
     return F.coalesce(OPERATORS[op](F.col(field), value), F.lit(False))
 
 
-def build_filter(must=(), should=(), must_not=()) -> Column:
-    """AND of must, OR of should (if any), AND NOT of must_not; each a list of (field, operator, value)."""
+def build_filter(must=(), should=(), must_not=(), min_should: int | None = None, min_of=()) -> Column:
+    """AND of must, OR of should (if any), at least min_should of min_of, AND NOT of must_not; each a list of (field, operator, value)."""
     parts = [condition(*c) for c in must] + [~condition(*c) for c in must_not]
+    if min_of:
+        parts.append(reduce(lambda a, b: a + b, (condition(*c).cast("int") for c in min_of)) >= (1 if min_should is None else min_should))
     if should:
         parts.append(reduce(lambda a, b: a | b, (condition(*c) for c in should)))
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
 def merge_filters(*filters: dict) -> dict:
-    """Concatenates the lists of several filters."""
-    return {k: [c for f in filters for c in f.get(k, ())] for k in ("must", "should", "must_not")}
+    """Concatenates the lists of several filters; of min_should the largest counts."""
+    out = {k: [c for f in filters for c in f.get(k, ())] for k in ("must", "should", "must_not", "min_of")}
+    least = [f["min_should"] for f in filters if f.get("min_should") is not None]
+    return out | ({"min_should": max(least)} if least else {})
 
 
 def top_k(scored: DataFrame, k: int, by: list[str] | None = None, node: str = "node_id", score: str = "score", rank: str = "rank") -> DataFrame:
@@ -47,14 +52,14 @@ def top_k(scored: DataFrame, k: int, by: list[str] | None = None, node: str = "n
     return scored.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= k)
 
 
-def _paired(queries: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
-    return queries.join(facts, keys) if keys else queries.crossJoin(facts)
-
-
 def dense_search(queries: DataFrame, facts: DataFrame, k: int, keys: list[str] = (), where: Column | None = None) -> DataFrame:
-    """query_id, node_id, score, rank. queries: query_id, q, keys; facts: node_id, v, keys. Filters come before the ranking."""
+    """query_id, node_id, score, rank. queries: query_id, q, keys; facts: node_id, v, keys. Filters come before the ranking.
+
+    Without keys every query meets every fact: scan() does that in blocks of queries."""
     found = facts.where(where) if where is not None else facts
-    pairs = _paired(queries.select("query_id", "q", *keys), found.select("node_id", "v", *keys), list(keys))
+    if not keys:
+        return scan(queries, found, k)
+    pairs = queries.select("query_id", "q", *keys).join(found.select("node_id", "v", *keys), list(keys))
     scored = pairs.select("query_id", "node_id", cosine("q", "v").alias("score")).where(F.col("score").isNotNull())
     return top_k(scored, k)
 
@@ -66,6 +71,57 @@ def sparse_search(queries: DataFrame, postings: DataFrame, k: int, keys: list[st
     return top_k(pairs.groupBy("query_id", "node_id").agg(F.sum(F.col("qw") * F.col("dw")).alias("score")), k)
 
 
+#: Queries of a block: their vectors travel to every task.
+SCAN_BLOCK = 8_192
+
+
+def scan(queries: DataFrame, facts: DataFrame, k: int, similarity: str = "cosine", block: int = SCAN_BLOCK) -> DataFrame:
+    """The k best facts of every query, exactly, where no key narrows them: query_id, node_id, score, rank.
+
+    Facts stay where they lie. A block of at most `block` queries is broadcast, each task multiplies its batches with it
+    and keeps k facts a query, and only these are ranked. similarity: 'cosine', or 'positive', the inner product of
+    positive components, as the join of vector_postings() gives it. Vectors are of one length; zero ones have no cosine."""
+    ids = {f.name: f.dataType.simpleString() for f in queries.select("query_id").schema} | {f.name: f.dataType.simpleString() for f in facts.select("node_id").schema}
+    ddl = f"query_id {ids['query_id']}, node_id {ids['node_id']}, score double"
+    n = queries.where("q is not null").count()
+    asked = queries.where("q is not null").select("query_id", "q", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // block)))).cast("int").alias("__b"))
+    out = []
+    for b in range(max(1, -(-n // block))):
+        rows = asked.where(F.col("__b") == b).orderBy("query_id").collect()  # a block by hash: about `block` rows
+        held = queries.sparkSession.sparkContext.broadcast(([r["query_id"] for r in rows], _matrix([r["q"] for r in rows], similarity)))
+        found = facts.where("v is not null").select("node_id", "v").mapInPandas(_best_of(held, k, similarity), ddl)
+        out.append(top_k(found, k))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _matrix(vectors: list, similarity: str) -> np.ndarray:
+    x = np.array([list(v) for v in vectors], float)
+    if similarity == "positive" or not len(x):
+        return np.maximum(x, 0)
+    length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, length, out=np.full_like(x, np.nan), where=length > 0)
+
+
+def _best_of(held, k: int, similarity: str):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, q = held.value
+        best: list[list[tuple]] = [[] for _ in ids]  # (-score, node) of each query, at most k
+        for frame in frames if len(ids) else ():
+            nodes = frame["node_id"].to_numpy()
+            for a in range(0, len(nodes), 1024):
+                some = nodes[a : a + 1024]
+                scores = q @ _matrix(list(frame["v"])[a : a + 1024], similarity).T
+                scores[np.isnan(scores) | ((scores <= 0) if similarity == "positive" else False)] = -np.inf
+                top = np.sort(scores, axis=1)[:, -min(k, len(some))]  # all that tie with the k-th may count
+                for i, row in enumerate(scores):
+                    at = np.flatnonzero((row >= top[i]) & (row > -np.inf))
+                    best[i] = sorted([*best[i], *zip((-row[at]).tolist(), some[at].tolist(), strict=True)])[:k]
+        flat = [(ids[i], node, -s) for i, b in enumerate(best) for s, node in b]
+        yield pd.DataFrame(flat, columns=["query_id", "node_id", "score"])
+
+    return run
+
+
 def vector_postings(df: DataFrame, node: str, vector: str, keys: list[str] = ()) -> DataFrame:
     """Positive components of a vector as token weights, as a sparse head with a rectifier gives them."""
     return df.select(F.col(node), *keys, F.posexplode(vector).alias("token", "w")).where("w > 0").select(node, *keys, "token", F.col("w").cast("double").alias("weight"))
@@ -125,9 +181,12 @@ def fuse(rows: DataFrame, method: str = "distribution") -> DataFrame:
 
 
 def provenance(rows: DataFrame, fused: DataFrame) -> DataFrame:
-    """The fused rows with each source's own score beside them."""
-    wide = rows.groupBy("query_id", "node_id").pivot("source", ["dense", "sparse"]).agg(F.max("score"))
-    return fused.join(wide.withColumnsRenamed({"dense": "dense_score", "sparse": "sparse_score"}), ["query_id", "node_id"], "left")
+    """The fused rows with each source's own score beside them, that score scaled by its list's range, and the fused one by its name."""
+    own = Window.partitionBy("query_id", "source")
+    s, low, high = F.coalesce(F.col("score"), F.lit(0.0)), F.min(F.coalesce("score", F.lit(0.0))).over(own), F.max(F.coalesce("score", F.lit(0.0))).over(own)
+    scaled = rows.withColumn("scaled", F.when(high == low, F.when(high > 0, 1.0).otherwise(0.0)).otherwise((s - low) / (high - low)))
+    wide = scaled.groupBy("query_id", "node_id").pivot("source", ["dense", "sparse"]).agg(F.max("score").alias("score"), F.max("scaled").alias("normalized_score"))
+    return fused.withColumn("fusion_score", F.col("score")).join(wide, ["query_id", "node_id"], "left")
 
 
 def dedup_text(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -163,8 +222,12 @@ def retrieve(queries: DataFrame, facts: DataFrame, method: str = "hybrid", top_n
     if "dense" in sources:
         found.append(dense_search(queries, facts, top_n, keys).withColumn("source", F.lit("dense")))
     if "sparse" in sources:
-        q, d = vector_postings(queries, "query_id", "q", keys), vector_postings(facts, "node_id", "v", keys)
-        found.append(sparse_search(q, d, top_n, keys).withColumn("source", F.lit("sparse")))
+        if keys:
+            q, d = vector_postings(queries, "query_id", "q", keys), vector_postings(facts, "node_id", "v", keys)
+            sparse = sparse_search(q, d, top_n, keys)
+        else:
+            sparse = scan(queries, facts, top_n, "positive")
+        found.append(sparse.withColumn("source", F.lit("sparse")))
     out = fuse(reduce(DataFrame.unionByName, [f.select("query_id", "source", "node_id", "score") for f in found]), fusion)
     if dedup or again:
         out = out.join(facts.select("node_id", "text"), "node_id")

@@ -77,6 +77,25 @@ def score_report(verdicts: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumns({f"{k}_score": rounded(F.col(f"{k}_count") / F.col("total_count")) for k in ("supported", "not_supported", "not_addressed")})
 
 
+# The fields of a report's row, in order.
+REPORT = ("supported_score", "not_supported_score", "not_addressed_score", "supported_count", "not_supported_count", "not_addressed_count", "total_count", "supported_explanation", "not_supported_explanation", "not_addressed_explanation", "verdicts", "supported", "not_supported", "not_addressed", "proposition_type", "fact_type", "judge_config")
+
+
+def full_report(verdicts: DataFrame, by: list[str], fields: list[str], explanations: DataFrame | None = None) -> DataFrame:
+    """by and the 17 fields of a report. verdicts: by, fields, verdict and, if known, proposition_type, fact_type, judge_config.
+
+    A report holds all of its verdicts, so by must name what is judged together, one subject's statements under one setting."""
+    kinds = [c for c in ("proposition_type", "fact_type", "judge_config") if c in verdicts.columns]
+    row = F.struct(*fields, "verdict")
+    of = lambda v: F.sort_array(F.collect_list(F.when(F.col("verdict") == v, row)))
+    whole = verdicts.where("verdict is not null").groupBy(*by).agg(F.sort_array(F.collect_list(row)).alias("verdicts"), of(SUPPORTED).alias("supported"), of(NOT_SUPPORTED).alias("not_supported"), of(NOT_ADDRESSED).alias("not_addressed"), *(F.min(c).alias(c) for c in kinds))
+    out = score_report(verdicts, by).join(whole, by)
+    if explanations is not None:
+        wide = explanations.groupBy(*by).pivot("verdict", [SUPPORTED, NOT_SUPPORTED, NOT_ADDRESSED]).agg(F.first("explanation"))
+        out = out.join(wide.withColumnsRenamed({SUPPORTED: "supported_explanation", NOT_SUPPORTED: "not_supported_explanation", NOT_ADDRESSED: "not_addressed_explanation"}), by, "left")
+    return out.select(*by, *(F.col(c) if c in out.columns else F.lit(None).cast("string").alias(c) for c in REPORT))
+
+
 def nested_report(verdicts: DataFrame, by: list[str], fields: list[str]) -> DataFrame:
     """One row a group with its verdicts as an array of structs; explode_report is the inverse."""
     return verdicts.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("verdicts"))

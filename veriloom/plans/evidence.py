@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veriloom.functions import payload
 from veriloom.functions.columns import char_span, cosine, rounded, sentences, token_count, words
 from veriloom.operators import context, decompose, retrieval
 from veriloom.plans import pipelines
@@ -77,10 +78,10 @@ def sparse_text_topk(t: Tables) -> DataFrame:
     return _ranked(found, 5)
 
 
-@query(_ranked_sql(f"SELECT query_id, node_id, max(score) AS score FROM (SELECT query_id, node_id, score FROM {LISTS}) GROUP BY 1, 2"))
+@query(_ranked_sql(f"SELECT query_id, min(node_id) AS node_id, max(score) AS score FROM (SELECT query_id, node_id, node_id // 3 AS text, score FROM {LISTS}) GROUP BY query_id, text"))
 def fusion_simple(t: Tables) -> DataFrame:
-    # every vector is its own text
-    return _ranked(retrieval.simple_fusion(_lists(t).withColumn("text", F.col("node_id").cast("string"))))
+    # three vectors in a row share a text
+    return _ranked(retrieval.simple_fusion(_lists(t).withColumn("text", F.floor(F.col("node_id") / 3).cast("string"))))
 
 
 def _relative_sql(low: str, high: str, weight: str = "1.0") -> str:
@@ -118,12 +119,16 @@ def hybrid_retrieval(t: Tables) -> DataFrame:
     return _ranked(retrieval.retrieve(_queries(t), _facts(t), "hybrid", 10, ["label"]).select("query_id", "node_id", "score"), 10)
 
 
-@query(f"""SELECT f.query_id, f.node_id, round(d.score, 9) + 0.0 AS dense_score, round(s.score, 9) + 0.0 AS sparse_score FROM (SELECT DISTINCT query_id, node_id FROM {LISTS}) f
-LEFT JOIN {DENSE} d USING (query_id, node_id) LEFT JOIN {SPARSE} s USING (query_id, node_id)""")
+SCALED = "(SELECT query_id, node_id, score, CASE WHEN hi = lo THEN CASE WHEN hi > 0 THEN 1.0 ELSE 0.0 END ELSE (score - lo) / (hi - lo) END AS scaled FROM (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM {}))"
+
+
+@query(f"""SELECT f.query_id, f.node_id, round(d.score, 9) + 0.0 AS dense_score, round(d.scaled, 6) + 0.0 AS dense_normalized_score, round(s.score, 9) + 0.0 AS sparse_score, round(s.scaled, 6) + 0.0 AS sparse_normalized_score, round(u.score, 6) + 0.0 AS fusion_score
+FROM (SELECT DISTINCT query_id, node_id FROM {LISTS}) f LEFT JOIN {SCALED.format(DENSE)} d USING (query_id, node_id) LEFT JOIN {SCALED.format(SPARSE)} s USING (query_id, node_id)
+JOIN ({_relative_sql(MEAN3.format('-'), MEAN3.format('+'))}) u USING (query_id, node_id)""")
 def score_provenance(t: Tables) -> DataFrame:
     lists = _lists(t)
     out = retrieval.provenance(lists, retrieval.fuse(lists))
-    return out.select("query_id", "node_id", rounded("dense_score").alias("dense_score"), rounded("sparse_score").alias("sparse_score"))
+    return out.select("query_id", "node_id", *(rounded(f"{s}_{c}", d).alias(f"{s}_{c}") for s in ("dense", "sparse") for c, d in (("score", 9), ("normalized_score", 6))), rounded(rounded("fusion_score"), 6).alias("fusion_score"))
 
 
 @query("SELECT lang AS query_id, doc_id AS node_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang, text ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r = 1")
@@ -194,10 +199,18 @@ def embedding_mean_sparse(t: Tables) -> DataFrame:
 # ------------------------------------------------------------------ decomposition
 
 
-@query("SELECT conv_id, turn, string_agg(text, '') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS window_text FROM (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY 1, 2)")
+#: Turns in order, ties by role and text, nulls as empty.
+TURNS = "(SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS r FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations))"
+
+
+def _turns(t: Tables) -> DataFrame:
+    rows = t.conversations.select("conv_id", "turn", *(F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")))
+    return rows.withColumn("r", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long"))
+
+
+@query(f"SELECT conv_id, r, string_agg(text, '') OVER (PARTITION BY conv_id ORDER BY r ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS window_text FROM {TURNS}")
 def sentence_windows(t: Tables) -> DataFrame:
-    rows = t.conversations.groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
-    return decompose.sentence_windows(rows, "conv_id", "turn", "text").select("conv_id", "turn", "window_text")
+    return decompose.sentence_windows(_turns(t), "conv_id", "r", "text").select("conv_id", "r", "window_text")
 
 
 DISTANCES = """SELECT label, vec_id, d AS distance, quantile_cont(d, 0.9) OVER (PARTITION BY label) AS threshold FROM (SELECT label, vec_id, 1 - list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))) AS d FROM
@@ -227,14 +240,17 @@ def sentence_split(t: Tables) -> DataFrame:
     return parts.select("doc_id", "idx", "sentence", F.regexp_count("sentence", F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]")).cast("long").alias("n_tokens"))
 
 
-@query("""SELECT doc_id, strpos(text, s) - 1 AS start_idx, strpos(text, s) - 1 + length(s) AS end_idx FROM (SELECT doc_id, text, string_split(text, chr(10))[2] AS s FROM documents) WHERE s IS NOT NULL AND length(s) > 0""")
+@query("""SELECT doc_id, CAST(i - 1 AS INTEGER) AS idx, strpos(text, s) - 1 AS start_idx, strpos(text, s) - 1 + length(s) AS end_idx FROM (SELECT doc_id, text, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, text, string_split(text, chr(10)) AS p FROM documents)) WHERE length(s) > 0""")
 def child_spans(t: Tables) -> DataFrame:
-    rows = t.documents.withColumn("s", F.get(F.split("text", "\n"), 1)).where("length(s) > 0")
+    rows = t.documents.select("doc_id", "text", F.posexplode(F.split("text", "\n")).alias("idx", "s")).where("length(s) > 0")
     start, end = char_span("text", "s")
-    return rows.select("doc_id", start.alias("start_idx"), end.alias("end_idx"))
+    return rows.select("doc_id", "idx", start.alias("start_idx"), end.alias("end_idx"))
 
 
-@query(None)
+@query(r"""WITH s AS (SELECT doc_id, text AS parent, unnest(p) AS text, generate_subscripts(p, 1) - 1 AS i FROM (SELECT doc_id, text, list_filter(string_split(regexp_replace(text, '([.!?])(\s+)', '\1\2' || chr(1), 'g'), chr(1)), lambda x: length(trim(x)) > 0) AS p FROM documents)),
+n AS (SELECT *, regexp_replace(md5(text || '-' || doc_id || '-' || i), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5') AS id FROM s)
+SELECT doc_id AS source_document_id, CAST(i AS INTEGER) AS node_monotonic_idx, text, strpos(parent, text) - 1 AS start_char_idx, strpos(parent, text) - 1 + length(text) AS end_char_idx, id AS node_id, lag(id) OVER w AS prev_id, lead(id) OVER w AS next_id, length(text) AS num_characters,
+CAST(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS BIGINT) AS num_tokens FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY i)""")
 def sentence_node_links(t: Tables) -> DataFrame:
     return decompose.sentence_nodes(t.documents, "doc_id", "text")
 
@@ -244,7 +260,7 @@ def semantic_chunks_recursive(t: Tables) -> DataFrame:
     return decompose.semantic_chunks(t.documents, "doc_id", "text")
 
 
-@query(None)
+@query(r"""SELECT doc_id, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS claim_idx, unnest(c) AS claim FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, ';|, and '), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: len(regexp_extract_all(lower(s), '[\p{L}\p{N}]+')) >= 3) AS c FROM documents)""")
 def claims_extract(t: Tables) -> DataFrame:
     return decompose.claims(t.documents, "doc_id", "text")
 
@@ -263,40 +279,61 @@ def judge_verdicts(t: Tables) -> DataFrame:
     return decompose.judge(pairs, "text", "reference").select("item_id", "doc_id", "verdict")
 
 
-@query(r"""WITH w AS (SELECT item_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS x FROM benchmark)
-SELECT item_id, ends_with(rtrim(text), '?') AS interrogative, len(x) < 3 AS incomplete, len(x) = 0 AS empty FROM w""")
+@query(r"""WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS x FROM documents),
+f AS (SELECT doc_id, coalesce(list_contains(string_split('add ask avoid call check continue do follow give go keep let make monitor note please see start stop take use', ' '), x[1]), false) AS imperative, ends_with(rtrim(text), '?') AS interrogative, len(x) < 3 AS incomplete,
+coalesce(list_contains(string_split('it they this that he she these those', ' '), x[1]), false) AS vague, len(x) = 0 AS empty FROM w)
+SELECT *, imperative OR interrogative OR incomplete OR vague AS invalid FROM f""")
 def validity_checks(t: Tables) -> DataFrame:
-    return decompose.validity_flags(t.benchmark, "text").select("item_id", "interrogative", "incomplete", "empty")
+    return decompose.validity_flags(t.documents, "text").select("doc_id", "invalid", "imperative", "interrogative", "incomplete", "vague", "empty")
 
 
-@query("""WITH RECURSIVE s AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, CAST(len(regexp_extract_all(text, '[^\\s]+')) AS BIGINT) AS size FROM (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY 1, 2)),
-p AS (SELECT conv_id, turn, r, size, CAST(0 AS BIGINT) AS pack, size AS used FROM s WHERE r = 1 UNION ALL
-SELECT s.conv_id, s.turn, s.r, s.size, CASE WHEN p.used = 0 OR p.used + s.size <= 200 THEN p.pack ELSE p.pack + 1 END, CASE WHEN p.used = 0 OR p.used + s.size <= 200 THEN p.used + s.size ELSE s.size END FROM p JOIN s ON s.conv_id = p.conv_id AND s.r = p.r + 1)
-SELECT conv_id, turn, size, pack FROM p""")
+@query(f"""WITH RECURSIVE s AS (SELECT conv_id, r, CAST(len(regexp_extract_all(text, '[^\\s]+')) AS BIGINT) AS size FROM {TURNS}),
+p AS (SELECT conv_id, r, size, CAST(0 AS BIGINT) AS pack, size AS used FROM s WHERE r = 1 UNION ALL
+SELECT s.conv_id, s.r, s.size, CASE WHEN p.used = 0 OR p.used + s.size <= 200 THEN p.pack ELSE p.pack + 1 END, CASE WHEN p.used = 0 OR p.used + s.size <= 200 THEN p.used + s.size ELSE s.size END FROM p JOIN s ON s.conv_id = p.conv_id AND s.r = p.r + 1)
+SELECT conv_id, r, size, pack FROM p""")
 def repack_chunks(t: Tables) -> DataFrame:
     from veriloom.functions.columns import word_count
 
-    rows = t.conversations.groupBy("conv_id", "turn").agg(F.min("text").alias("text")).withColumn("size", word_count("text"))
-    return decompose.repacked(rows, "conv_id", "turn", "size", 200)
+    return decompose.repacked(_turns(t).withColumn("size", word_count("text")), "conv_id", "r", "size", 200)
 
 
 @query(None)
 def iterative_writing(t: Tables) -> DataFrame:
-    return decompose.written(t.conversations, "conv_id", "turn", "text", 60)
+    return decompose.written(_turns(t), "conv_id", "r", "text", 60)
 
 
 @query(None)
+def course_writing(t: Tables) -> DataFrame:
+    """Turns summed up, packed, combined and folded into one text a conversation."""
+    return decompose.course(_turns(t), "conv_id", "r", "text", 60, 200)
+
+
+@query(None)
+def verdict_explanations(t: Tables) -> DataFrame:
+    """Reasons of the verdicts of each document against its own first line, summed up by language and verdict."""
+    told = decompose.judge(t.documents.withColumn("reference", F.substring_index("text", "\n", 1)), "text", "reference")
+    return decompose.explained(told, ["lang"])
+
+
+@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM documents),
+c AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS i, count(*) AS n FROM w GROUP BY 1, 2), l AS (SELECT doc_id, sqrt(sum(n * n)) AS l FROM c GROUP BY 1),
+g AS (SELECT doc_id, unnest(range(64)) AS i FROM documents), v AS (SELECT g.doc_id, g.i, round(coalesce(n / l, 0), 9) + 0.0 AS x FROM g LEFT JOIN c USING (doc_id, i) LEFT JOIN l USING (doc_id)),
+s AS (SELECT doc_id, count(DISTINCT w) AS n_tokens, round(sum(DISTINCT_W), 9) + 0.0 AS weight FROM (SELECT doc_id, w, 1.0 / length(w) AS DISTINCT_W FROM w GROUP BY ALL) GROUP BY 1)
+SELECT doc_id, list(x ORDER BY i) AS dense, coalesce(max(n_tokens), 0) AS n_tokens, coalesce(max(weight), 0.0) AS weight FROM v LEFT JOIN s USING (doc_id) GROUP BY 1""")
 def embed_documents(t: Tables) -> DataFrame:
-    return decompose.embed(t.documents.select("doc_id", "text"), "text").drop("text")
+    """Dense vectors of whole texts; of the sparse ones how many tokens they have and their weights together."""
+    out = decompose.embed(t.documents.select("doc_id", "text"), "text")
+    weight = F.aggregate(F.map_values("sparse"), F.lit(0.0), lambda s, x: s + x)
+    return out.select("doc_id", F.transform("dense", lambda x: rounded(x)).alias("dense"), F.size("sparse").cast("long").alias("n_tokens"), rounded(weight).alias("weight"))
 
 
 @query(None)
 def verify_propositions(t: Tables) -> DataFrame:
-    """The whole run: embed, retrieve, format, judge."""
+    """The whole run: embed, retrieve among all documents, format, judge."""
     facts = decompose.embed(t.documents.select("doc_id", "lang", "text"), "text")
-    facts = facts.select(F.col("doc_id").alias("node_id"), F.col("dense").alias("v"), "text", F.lit(0).alias("scope"), F.col("lang").alias("category"))
-    asked = decompose.embed(t.benchmark, "text").select(F.col("item_id").alias("query_id"), F.col("dense").alias("q"), F.col("text").alias("query"), F.lit(0).alias("scope"))
-    found = retrieval.retrieve(asked, facts, "rerank", 5, ["scope"], dedup=True)
+    facts = facts.select(F.col("doc_id").alias("node_id"), F.col("dense").alias("v"), "text", F.col("lang").alias("category"))
+    asked = decompose.embed(t.benchmark, "text").select(F.col("item_id").alias("query_id"), F.col("dense").alias("q"), F.col("text").alias("query"))
+    found = retrieval.retrieve(asked, facts, "rerank", 5, dedup=True)
     rows = found.join(facts.select("node_id", "category"), "node_id").withColumn("description", F.lit("document"))
     told = context.contexts(asked, rows, "score").join(asked.select("query_id", "query"), "query_id")
     return decompose.judge(told, "query", "context").select("query_id", "verdict", "reason")
@@ -313,6 +350,51 @@ def token_counts(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", token_count("text").alias("n_tokens"))
 
 
+# ------------------------------------------------------------------ shapes of nodes
+
+
+def _nodes(t: Tables) -> DataFrame:
+    """Documents as nodes with metadata; half of them with a category."""
+    pairs = {"node_kind": F.lit("document"), "source_document_id": F.col("doc_id").cast("string"), "SUBJECT_ID": (F.col("doc_id") % 100).cast("string"), "HADM_ID": F.col("n_chars").cast("string"), "CHARTDATE": F.lit("2020-01-02 03:04:05"), "num_characters": F.col("n_chars").cast("string"), "CATEGORY": F.when(F.col("doc_id") % 2 == 0, F.col("lang")), "source": F.col("source")}
+    entries = F.filter(F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in pairs.items())), lambda e: e["value"].isNotNull())
+    return t.documents.select(F.col("doc_id").cast("string").alias("node_id"), "text", F.map_from_entries(entries).alias("metadata"), F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") / 8.0).alias("score"))
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS node_id, 'document' AS node_kind, text AS "TEXT", CAST(doc_id AS VARCHAR) AS source_document_id, CAST(n_chars AS BIGINT) AS num_characters, CAST(doc_id % 100 AS BIGINT) AS "SUBJECT_ID", CAST(n_chars AS DOUBLE) AS "HADM_ID", TIMESTAMP '2020-01-02 03:04:05' AS "CHARTDATE", CASE WHEN doc_id % 2 = 0 THEN lang END AS "CATEGORY", CASE WHEN doc_id % 3 > 0 THEN doc_id / 8.0 ELSE 0.0 END AS score, 26 AS n_columns FROM documents""")
+def flat_nodes(t: Tables) -> DataFrame:
+    flat = payload.flat_nodes(_nodes(t))
+    return flat.select("node_id", "node_kind", "TEXT", "source_document_id", "num_characters", "SUBJECT_ID", "HADM_ID", "CHARTDATE", "CATEGORY", "score", F.lit(len(flat.columns)).alias("n_columns"))
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS proposition_id, text, CAST(NULL AS VARCHAR) AS parent_text_chunk, CAST(doc_id % 100 AS BIGINT) AS subject_id, CAST(NULL AS BIGINT) AS row_id, CAST(n_chars AS DOUBLE) AS hadm_id FROM documents""")
+def proposition_rows(t: Tables) -> DataFrame:
+    return payload.propositions(payload.flat_nodes(_nodes(t)))
+
+
+LINES = "CASE WHEN doc_id % 2 = 0 AND lang IS NOT NULL THEN 'CATEGORY: ' || lang || chr(10) ELSE '' END || 'CHARTDATE: 2020-01-02 03:04:05' || chr(10) || 'HADM_ID: ' || n_chars || chr(10) || 'SUBJECT_ID: ' || doc_id % 100 || chr(10) || 'node_kind: document' || chr(10) || 'num_characters: ' || n_chars || chr(10) || 'source: ' || source || chr(10) || 'source_document_id: ' || doc_id"
+
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS node_id, text, {LINES} AS lines FROM documents")
+def payload_round_trip(t: Tables) -> DataFrame:
+    """Nodes to payloads and back, their metadata shown as lines."""
+    return payload.from_payload(payload.to_payload(_nodes(t))).select("node_id", "text", payload.metadata_text("metadata").alias("lines"))
+
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS node_id, {LINES} || chr(10) || chr(10) || text AS shown, CAST(doc_id AS VARCHAR) AS ref_doc_id FROM documents")
+def metadata_round_trip(t: Tables) -> DataFrame:
+    """Nodes to metadata maps and back, shown as a model would read them."""
+    maps = payload.to_metadata(_nodes(t))
+    back = payload.from_metadata(maps).select("node_id", payload.node_text("metadata", "text").alias("shown"))
+    return back.join(maps.select("node_id", F.element_at("metadata", F.lit("ref_doc_id")).alias("ref_doc_id")), "node_id")
+
+
+@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
+def json_in_words(t: Tables) -> DataFrame:
+    """Objects that stand between other words, as models answer."""
+    said = F.concat(F.lit("Sure, here it is: "), "props", F.lit(" Anything else?"))
+    return t.events.select("event_id", payload.json_object(said, "k long")["k"].alias("k"))
+
+
 # ------------------------------------------------------------------ whole runs
 
 
@@ -340,9 +422,10 @@ def ingest_nodes(t: Tables) -> DataFrame:
 
 @query(None)
 def evaluation_grid(t: Tables) -> DataFrame:
-    facts = decompose.embed(t.documents.select("doc_id", "lang", "text"), "text").select(F.col("doc_id").alias("node_id"), F.col("dense").alias("v"), "text", F.lit(0).alias("scope"), F.col("lang").alias("category"), F.lit("document").alias("description"))
-    asked = decompose.embed(t.benchmark, "text").select(F.col("item_id").alias("query_id"), F.col("dense").alias("q"), F.col("text").alias("query"), F.lit(0).alias("scope"))
-    return pipelines.reports(pipelines.evaluate(asked, facts, ["dense", "hybrid"], [3, 5], ["score"], ["scope"]))
+    """All four methods at two sizes: the grid's plan is one branch a setting, so the catalogue runs a part of the 192 settings."""
+    facts = decompose.embed(t.documents.select("doc_id", "lang", "text"), "text").select(F.col("doc_id").alias("node_id"), F.col("dense").alias("v"), "text", F.col("lang").alias("category"), F.lit("document").alias("description"))
+    asked = decompose.embed(t.benchmark, "text").select(F.col("item_id").alias("query_id"), F.col("dense").alias("q"), F.col("text").alias("query"))
+    return pipelines.reports(pipelines.evaluate(asked, facts, ["dense", "sparse", "hybrid", "rerank"], [5, 10], ["score"], []))
 
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

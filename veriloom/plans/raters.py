@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriloom.functions.columns import NEITHER, binarized, display, ordinal, valid_verdict
@@ -93,6 +93,15 @@ def icc_inference(t: Tables) -> DataFrame:
     return agreement.intraclass_p(agreement.intraclass(_quantities(t), [1, 2, 3]))
 
 
+@query(f"""WITH c AS (SELECT item, value, count(*) AS r, sum(count(*)) OVER (PARTITION BY item) AS ri FROM {R} GROUP BY 1, 2), p AS (SELECT value, sum(r / ri) AS p FROM c GROUP BY 1), s AS (SELECT value, p / sum(p) OVER () AS s, count(*) OVER () AS q FROM p),
+h AS (SELECT sum(s * (1 - s)) / (max(q) - 1) AS pe, max(q) AS q FROM s), i AS (SELECT item, CASE WHEN max(ri) >= 2 THEN sum(r * (r - 1)) / (max(ri) * (max(ri) - 1)) END AS a, sum(r / ri * (1 - s)) AS e FROM c JOIN s USING (value) GROUP BY 1),
+g AS (SELECT count(*) AS n, count(a) AS n2, avg(a) AS pa FROM i), k AS (SELECT *, (pa - pe) / (1 - pe) AS k FROM g, h),
+d AS (SELECT n, k, (coalesce(a, 0) * n / n2 - pe) / (1 - pe) - 2 * (1 - k) * (e / (q - 1) - pe) / (1 - pe) - k AS d FROM i, k)
+SELECT round(max(k), 8) + 0.0 AS gwet_ac1, round(sqrt(sum(d * d) / (max(n) * (max(n) - 1))), 8) + 0.0 AS se FROM d""")
+def gwet_standard_error(t: Tables) -> DataFrame:
+    return agreement.gwet_inference(ratings(t)).select(*((F.round(c, 8) + 0.0).alias(c) for c in ("gwet_ac1", "se")))
+
+
 @query(None)
 def gwet_inference(t: Tables) -> DataFrame:
     return agreement.gwet_inference(ratings(t))
@@ -121,8 +130,8 @@ def metric_dispatch(t: Tables) -> DataFrame:
 # ------------------------------------------------------------------ bootstrap
 
 DRAWS = 20
-TIMES = f"""(SELECT draw, item, count(*) AS times FROM (SELECT draw, CAST('0x' || substr(md5(draw || '-' || j), 1, 8) AS BIGINT) % n AS j FROM (SELECT row_number() OVER (ORDER BY item) - 1 AS j, count(*) OVER () AS n FROM (SELECT DISTINCT item FROM {{0}})), range({DRAWS}) d(draw)) x
-JOIN (SELECT row_number() OVER (ORDER BY item) - 1 AS j, item FROM (SELECT DISTINCT item FROM {{0}})) USING (j) GROUP BY 1, 2)"""
+TIMES = f"""(SELECT draw, item, count(*) AS times FROM (SELECT draw, CAST('0x' || substr(md5(draw || '-' || j), 1, 8) AS BIGINT) % n AS j FROM (SELECT row_number() OVER (ORDER BY md5(CAST(item AS VARCHAR)), item) - 1 AS j, count(*) OVER () AS n FROM (SELECT DISTINCT item FROM {{0}})), range({DRAWS}) d(draw)) x
+JOIN (SELECT row_number() OVER (ORDER BY md5(CAST(item AS VARCHAR)), item) - 1 AS j, item FROM (SELECT DISTINCT item FROM {{0}})) USING (j) GROUP BY 1, 2)"""
 DRAWN = f"""(SELECT draw, sum(w * agree) / sum(w) AS pa FROM (SELECT draw, item, max(times) AS w, sum(r * (r - 1)) / (max(ri) * (max(ri) - 1)) AS agree FROM (SELECT item, value, count(*) AS r, sum(count(*)) OVER (PARTITION BY item) AS ri FROM {R} GROUP BY 1, 2) JOIN {TIMES.format(R)} USING (item) WHERE ri >= 2 GROUP BY 1, 2) GROUP BY 1)"""
 
 
@@ -138,6 +147,27 @@ def bootstrap_interval(t: Tables) -> DataFrame:
     return out.select(*((F.round(c, 7) + 0.0).alias(c) for c in ("ci_lower", "ci_upper", "se")))
 
 
+ALL_DRAWS = 1000
+
+
+@query(None)
+def bootstrap_all_nominal(t: Tables) -> DataFrame:
+    """Intervals of all categorical coefficients from 1000 draws, as exact resamples by blocks."""
+    return agreement.bootstrap_nominal(ratings(t), ALL_DRAWS)
+
+
+@query(None)
+def bootstrap_all_continuous(t: Tables) -> DataFrame:
+    """The same of ICC(3), concordance and interval alpha of two raters."""
+    return agreement.bootstrap_continuous(_quantities(t), 1, 2, ALL_DRAWS)
+
+
+@query(None)
+def bootstrap_all_classification(t: Tables) -> DataFrame:
+    """The same of four measures and five counts by label."""
+    return classification.bootstrap_measures(_labels(t), [0, 1], ALL_DRAWS)
+
+
 L = "(SELECT doc_id AS item, quality AS y_true, 1 - toxic AS y_pred FROM labels)"
 
 
@@ -211,6 +241,12 @@ def melt_raters(t: Tables) -> DataFrame:
     return stats.melt_raters(_verdicts(t).groupBy("item").agg(*cells), 3, ["item"])
 
 
+@query(f"""SELECT rater, supported_count AS "Supported", not_supported_count AS "Not Supported", not_addressed_count AS "Not Addressed" FROM ({REPORT})""")
+def pivot_verdicts(t: Tables) -> DataFrame:
+    cells = _verdicts(t).groupBy("rater", F.col("verdict").alias("item")).agg(F.count(F.lit(1)).alias("value"))
+    return stats.pivot_ratings(cells, ["Supported", "Not Supported", "Not Addressed"]).fillna(0)
+
+
 @query(f"""SELECT rater, max(CASE WHEN item % 4 = 0 THEN n END) AS "0", max(CASE WHEN item % 4 = 1 THEN n END) AS "1", max(CASE WHEN item % 4 = 2 THEN n END) AS "2", max(CASE WHEN item % 4 = 3 THEN n END) AS "3" FROM (SELECT rater, item % 4 AS item, count(*) FILTER (verdict = 'Supported') AS n FROM {V} GROUP BY 1, 2) GROUP BY 1""")
 def pivot_ratings(t: Tables) -> DataFrame:
     cells = _verdicts(t).groupBy("rater", (F.col("item") % 4).alias("item")).agg(F.count_if(F.col("verdict") == "Supported").alias("value"))
@@ -225,8 +261,13 @@ def best_system(t: Tables) -> DataFrame:
     return stats.best_system(m, ["g"], "supported", "rater")
 
 
-@query(f"SELECT rater, printf('%.1f%%', 100.0 * supported_count / total_count) AS shown, CAST(1 AS BIGINT) AS place FROM ({REPORT})")
+@query(f"""SELECT rater, printf('%.1f%% (%.1f-%.1f%%)', 100 * p, 100 * (p - h), 100 * (p + h)) AS shown, printf('%.2f', p) AS plain, CAST(row_number() OVER (ORDER BY k, rater) AS BIGINT) AS place, k AS top FROM (
+SELECT rater, p, 1.96 * sqrt(p * (1 - p) / total_count) AS h, CAST(CASE WHEN supported_count >= greatest(not_supported_count, not_addressed_count) THEN 1 WHEN not_supported_count >= not_addressed_count THEN 2 ELSE 3 END AS BIGINT) AS k FROM (SELECT *, supported_count / total_count AS p FROM ({REPORT})))""")
 def display_strings(t: Tables) -> DataFrame:
-    r = stats.score_report(_verdicts(t), ["rater"])
+    """Shares with normal bounds, and raters in the order of their most frequent verdict's category."""
+    r = stats.score_report(_verdicts(t), ["rater"]).withColumn("p", F.col("supported_count") / F.col("total_count"))
+    h, s, n, a = F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("total_count")) * 1.96, *(F.col(f"{c}_count") for c in ("supported", "not_supported", "not_addressed"))
+    most = F.when(s >= F.greatest(n, a), "Supported").when(n >= a, "Not Supported").otherwise("Not Addressed")
     none = F.lit(None).cast("double")
-    return r.select("rater", display(F.col("supported_count") / F.col("total_count"), none, none, percent=True).alias("shown"), ordinal(F.lit("Supported"), ["Supported", "Not Supported"]).cast("long").alias("place"))
+    out = r.select("rater", display("p", F.col("p") - h, F.col("p") + h, percent=True).alias("shown"), display("p", none, none).alias("plain"), ordinal(most, ["Supported", "Not Supported", "Not Addressed"]).cast("long").alias("top"))
+    return out.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("top", "rater")).cast("long"))  # one row a rater

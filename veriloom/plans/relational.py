@@ -139,12 +139,12 @@ def distinct_ids(t: Tables) -> DataFrame:
     return t.lineitem.select("l_suppkey", "l_returnflag").distinct()
 
 
-@query("""SELECT l_orderkey, list_sort(list_intersect(a, b)) AS both, list_sort(list_filter(a, lambda x: NOT list_contains(b, x))) AS only_a, len(list_intersect(a, b)) = 0 AS apart
+@query("""SELECT l_orderkey, list_sort(list_intersect(a, b)) AS both, list_sort(list_filter(a, lambda x: NOT list_contains(b, x))) AS only_a, list_sort(list_concat(list_filter(a, lambda x: NOT list_contains(b, x)), list_filter(b, lambda x: NOT list_contains(a, x)))) AS either, len(list_filter(a, lambda x: NOT list_contains(b, x))) = 0 AS within, len(list_intersect(a, b)) = 0 AS apart
 FROM (SELECT l_orderkey, list_distinct(list(l_suppkey) FILTER (l_linenumber <= 3)) AS a, list_distinct(list(l_suppkey) FILTER (l_linenumber > 3)) AS b FROM lineitem GROUP BY 1) WHERE a IS NOT NULL AND b IS NOT NULL""")
 def array_set_algebra(t: Tables) -> DataFrame:
     sets = t.lineitem.groupBy("l_orderkey").agg(F.collect_set(F.when(F.col("l_linenumber") <= 3, F.col("l_suppkey"))).alias("a"), F.collect_set(F.when(F.col("l_linenumber") > 3, F.col("l_suppkey"))).alias("b"))
     sets = sets.where((F.size("a") > 0) & (F.size("b") > 0))
-    return sets.select("l_orderkey", F.array_sort(F.array_intersect("a", "b")).alias("both"), F.array_sort(F.array_except("a", "b")).alias("only_a"), (~F.arrays_overlap("a", "b")).alias("apart"))
+    return sets.select("l_orderkey", F.array_sort(F.array_intersect("a", "b")).alias("both"), F.array_sort(F.array_except("a", "b")).alias("only_a"), F.array_sort(F.concat(F.array_except("a", "b"), F.array_except("b", "a"))).alias("either"), (F.size(F.array_except("a", "b")) == 0).alias("within"), (~F.arrays_overlap("a", "b")).alias("apart"))
 
 
 # ------------------------------------------------------------------ statistics
@@ -220,9 +220,9 @@ def grouping_sets_strata(t: Tables) -> DataFrame:
     return stats.total_and_strata(t.lineitem, ["l_returnflag", "l_linestatus"])
 
 
-@query("SELECT c_custkey, n FROM (SELECT o_custkey AS c_custkey, count(*) AS n FROM orders GROUP BY 1) ORDER BY n DESC, c_custkey LIMIT 10")
+@query("SELECT c_custkey, n FROM (SELECT o_custkey AS c_custkey, count(*) AS n FROM orders GROUP BY 1) ORDER BY n DESC, c_custkey")
 def subjects_by_notes(t: Tables) -> DataFrame:
-    return t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "c_custkey").limit(10)
+    return t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "c_custkey")
 
 
 # ------------------------------------------------------------------ cohorts

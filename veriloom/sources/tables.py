@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,11 +51,15 @@ def read_any(spark: SparkSession, path: str, schema: T.StructType | None = None)
         import pandas
 
         return spark.createDataFrame(pandas.read_excel(path))
+    if name.endswith((".pkl", ".pickle")):  # a pickle runs code: read only what you wrote
+        import pandas
+
+        return spark.createDataFrame(pandas.read_pickle(path))
     raise ValueError(f"no reader for {os.path.basename(path)}")
 
 
 def write_any(df: DataFrame, path: str) -> None:
-    """The counterpart of read_any; feather goes through the driver."""
+    """The counterpart of read_any; feather, Excel and pickle go through the driver. Text is the one column of the frame, a value a line."""
     name, writer = path.rstrip("/").lower(), df.write.mode("overwrite")
     if name.endswith((".csv", ".csv.gz")):
         writer.options(header=True, escape='"', compression="gzip" if name.endswith(".gz") else "none").csv(path)
@@ -64,6 +69,15 @@ def write_any(df: DataFrame, path: str) -> None:
         writer.json(path)
     elif name.endswith(".orc"):
         writer.orc(path)
+    elif name.endswith(".txt"):
+        writer.text(path)
+    elif name.endswith((".xlsx", ".xlsm", ".pkl", ".pickle")):
+        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+        frame = df.toPandas()
+        if name.endswith((".pkl", ".pickle")):
+            frame.to_pickle(path)
+        else:
+            frame.to_excel(path, index=False)
     elif name.endswith(".feather"):
         import pyarrow.feather
 
@@ -96,12 +110,10 @@ def note_nodes(notes: DataFrame, group: str = "hadm_id", order: tuple[str, ...]
 
 
 def upsert(existing: DataFrame | None, new: DataFrame, key: str = "node_id", version: str | None = None) -> DataFrame:
-    """Keep-last union by key: new rows win over existing ones, of several new ones the highest version."""
-    if version:
-        last = Window.partitionBy(key).orderBy(F.col(version).desc_nulls_last())
-        new = new.withColumn("__r", F.row_number().over(last)).where("__r = 1").drop("__r")
-    else:
-        new = new.dropDuplicates([key])
+    """Keep-last union by key: new rows win over existing ones, of several new ones the highest version, then the greatest hash of all columns."""
+    content = F.xxhash64(*(F.col(f"`{f.name}`") if not isinstance(f.dataType, T.MapType) else F.to_json(f"`{f.name}`") for f in new.schema))
+    last = Window.partitionBy(key).orderBy(*([F.col(version).desc_nulls_last()] if version else []), content.desc())
+    new = new.withColumn("__r", F.row_number().over(last)).where("__r = 1").drop("__r")
     if existing is None:
         return new
     return existing.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
@@ -116,18 +128,45 @@ def not_yet_done(candidates: DataFrame, done: DataFrame, keys: list[str]) -> Dat
     return candidates.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def ensure_table(df: DataFrame, name: str) -> None:
-    """Creates an empty table of the frame's schema unless it is there."""
-    if not df.sparkSession.catalog.tableExists(name):
-        df.limit(0).write.saveAsTable(name)
+def ensure_table(df: DataFrame, name: str, partition_by: list[str] = ()) -> list[str]:
+    """Creates an empty table of the frame's schema unless it is there, partitioned by what is filtered by. Of a table that is
+    there, columns that it lacks are added, and a column of another type raises ValueError. Returns the columns added."""
+    spark = df.sparkSession
+    if not spark.catalog.tableExists(name):
+        df.limit(0).write.partitionBy(*partition_by).saveAsTable(name)
+        return []
+    have = {f.name.lower(): f.dataType for f in spark.table(name).schema}
+    if wrong := [f.name for f in df.schema if f.name.lower() in have and have[f.name.lower()] != f.dataType]:
+        raise ValueError(f"{name} has other types of {wrong}")
+    new = [f for f in df.schema if f.name.lower() not in have]
+    if new:
+        spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in new)})")
+    return [f.name for f in new]
 
 
 def save_metrics(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").partitionBy("stratum").parquet(path)
+    """The metrics by stratum, and beside them all in one table."""
+    df.write.mode("overwrite").partitionBy("stratum").parquet(f"{path}/metrics")
+    df.write.mode("overwrite").parquet(f"{path}/all")
+
+
+def load_metrics(spark: SparkSession, path: str, strata: list[str] | None = None) -> DataFrame:
+    """The metrics of the strata asked for (all, if none): from the folders by stratum, and where these can't be read or lack one, from the whole table. FileNotFoundError if neither is there."""
+
+    def kept(df: DataFrame) -> DataFrame:
+        return df.withColumn("stratum", F.col("stratum").cast("string")).where(F.col("stratum").isin(strata) if strata else F.lit(True))
 
+    def complete(df: DataFrame) -> bool:
+        return not strata or {r["stratum"] for r in df.select("stratum").distinct().collect()} >= set(strata)
 
-def load_metrics(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    for part in ("metrics", "all"):
+        try:
+            df = kept(spark.read.parquet(f"{path}/{part}"))
+        except AnalysisException:
+            continue
+        if part == "all" or complete(df):
+            return df
+    raise FileNotFoundError(f"no metrics in {path}")
 
 
 def gather_reports(spark: SparkSession, path: str) -> DataFrame:

@@ -45,7 +45,10 @@ def windowed_counts(events: DataFrame, at: str = "ts", kind: str = "event_type",
 def drained(stream: DataFrame) -> DataFrame:
     """The complete result of a streaming aggregate once its source is drained, through the shared folder of the session."""
     spark = stream.sparkSession
-    folder = os.path.join(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "veriloom-stream"), f"stream-{uuid.uuid4().hex}")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+    folder = os.path.join(named or os.path.join(tempfile.gettempdir(), "veriloom-stream"), f"stream-{uuid.uuid4().hex}")
     save = lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/rows")
     query = stream.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
