@@ -199,6 +199,7 @@ def _dealt(members: DataFrame, payload: DataFrame) -> DataFrame:
     counts = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.max("n").alias("of_major"), F.sum("n").alias("all"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     counts = counts.select("band", "major", blocks(F.col("of_major")).alias("majors"), blocks(F.col("all") - F.col("of_major")).alias("minors"))
+    counts = compact(checkpointed(counts))  # a side of its own, so that Spark can split a bucket with many members in the join
     placed = members.join(counts, "band").withColumn("h", F.xxhash64("node", "band"))
     placed = placed.withColumn("block", F.when(F.col("component") == F.col("major"), -1 - F.pmod("h", F.col("majors"))).otherwise(F.pmod("h", F.greatest("minors", F.lit(1)))).cast("int"))
     others = F.sequence(F.when(F.col("block") < 0, 0).otherwise(-F.col("majors")), F.col("minors") - 1)
