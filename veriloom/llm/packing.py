@@ -19,8 +19,10 @@ one length are exchangeable: which of them goes where follows a hash of doc_id a
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,8 +40,8 @@ CAPACITY, END = 2048, 0
 BUCKETS = 256
 #: Steps of the search: a node counts NODE, a step of the enumeration 1.
 STEPS, NODE = 2_000_000, 20
-#: Bytes of chunks remembered by a worker, and of words; bytes of text worked on at once.
-CHUNKS, WORDS, GATHER = 96 << 20, 64 << 20, 4 << 20
+#: Bytes of chunks remembered by a worker, and of words within them; of an entry besides its text and ids; bytes of text worked on at once.
+CHUNKS, WORDS, ENTRY, GATHER = 128 << 20, 48 << 20, 200, 4 << 20
 
 
 class WordIds:
@@ -54,11 +56,16 @@ class WordIds:
         self.chunks: dict[str, bytes] = Remembered(CHUNKS)
         self.coded: dict[str, bytes] = Remembered(WORDS)
 
+    def ids(self, w: str) -> bytes:
+        shown = w if w.isascii() and w.isprintable() else "".join(map(self.letter.__getitem__, w.encode("utf-8", "surrogatepass")))
+        found = array("I", [t.id for t in self.whole.model.tokenize(shown)])
+        return found.tobytes() if sys.byteorder == "little" else np.array(found, "<u4").tobytes()
+
     def word(self, w: str) -> bytes:
-        if (known := self.coded.get(w)) is None:
-            shown = w if w.isascii() and w.isprintable() else "".join(map(self.letter.__getitem__, w.encode("utf-8", "surrogatepass")))
-            known = self.coded[w] = np.array([t.id for t in self.whole.model.tokenize(shown)], "<u4").tobytes()
-            self.coded.told((w,))
+        """A word of a chunk; words that are chunks themselves are remembered there alone."""
+        if (known := self.chunks.get(w) or self.coded.get(w)) is None:
+            known = self.coded[w] = self.ids(w)
+            self.coded.bytes += ENTRY + len(w) + len(known)
         return known
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -77,9 +84,15 @@ class WordIds:
             new.update(c or ())
         new = {c for c in new if c not in self.chunks}
         chunks, word, words = self.chunks, self.word, self.words.findall
+        size = 0
         for c in new:
-            chunks[c] = b"".join(map(word, words(c)))
-        chunks.told(new)
+            if c.isalpha():  # one word of letters
+                known = self.coded.get(c) or self.ids(c)
+            else:
+                known = b"".join(map(word, words(c)))
+            chunks[c] = known
+            size += len(c) + len(known)
+        chunks.bytes += size + ENTRY * len(new)
         return [np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if c is None else b"".join(map(chunks.__getitem__, c)) for c, t in zip(cut, texts, strict=True)]
 
 
