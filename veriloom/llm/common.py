@@ -61,13 +61,18 @@ def tools(name: str, make: Callable[[], Any]) -> Any:
     if name not in _TOOLS:
         if _TOOLS:
             _TOOLS.clear()
-            gc.collect()
-            if sys.platform == "linux":
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
         _TOOLS[name] = make()
     return _TOOLS[name]
 
 
+def give_back() -> None:
+    """Memory that is no longer used goes back to the system."""
+    gc.collect()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Remembered(dict):
     """A dict that counts the bytes of what it is told of, and forgets all in trim() once there are too many.
 

@@ -32,7 +32,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import Remembered, arrow_map, arrow_schema, fold, keep_rows, least_hashed, small_batches, tools, within_bytes
+from veriloom.llm.common import Remembered, arrow_map, arrow_schema, fold, give_back, keep_rows, least_hashed, small_batches, tools, within_bytes
 
 #: Texts of each language that are learnt from, at most, their bytes together, and rounds of learning.
 SAMPLE, SAMPLE_BYTES, ROUNDS = 400, 64 << 20, 3
@@ -271,9 +271,13 @@ def train(docs: DataFrame, path: str, sample: int = SAMPLE, key: str = "doc_id",
                 found.update((g, x) for w in words_of(t or "") for x in parts(w))
             return {"lang": [k[0] for k in found], "word": [k[1] for k in found], "n": list(found.values())}
 
-        for r in arrow_map(chosen, count, arrow_schema(ddl), ddl).groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
-            counts.setdefault(r["lang"], Counter())[r["word"]] = r["n"]
-    return learn(counts, path)
+        for batch in arrow_map(chosen, count, arrow_schema(ddl), ddl).groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow().to_batches(max_chunksize=8192):
+            for g, w, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                counts.setdefault(g, Counter())[w] = k
+    model = learn(counts, path)
+    del counts
+    give_back()
+    return model
 
 
 PREDICTED = "doc_id long, lang_pred string, score double"

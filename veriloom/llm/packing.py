@@ -38,8 +38,8 @@ from veriloom.llm.common import Remembered, arrow_map, arrow_schema, checkpointe
 CAPACITY, END = 2048, 0
 #: Buckets that the pieces of one length are dealt to for ranking.
 BUCKETS = 256
-#: Steps of the search: a node counts NODE, a step of the enumeration 1.
-STEPS, NODE = 2_000_000, 20
+#: Steps of the search: a node counts NODE, a step of the enumeration 1. Levels whose enumeration is held.
+STEPS, NODE, HELD = 1_000_000, 20, 32
 #: Bytes of chunks remembered by a worker, and of words within them; of an entry besides its text and ids; bytes of text worked on at once.
 CHUNKS, WORDS, ENTRY, GATHER = 128 << 20, 48 << 20, 200, 4 << 20
 
@@ -270,15 +270,23 @@ def bin_completion(counts: dict[int, int], capacity: int, steps: int = STEPS) ->
         waste += m * (capacity - sum(bins))
         used += m
 
-    stack: list[Iterator[tuple[tuple[int, ...], int]]] = []
+    # levels of the search: fillings still to come, and how many were taken. Only the last HELD levels hold theirs; others
+    # are enumerated anew, up to where they were, when the search comes back to them
+    stack: list[list] = []
     try:
         if fewest > least:
-            stack.append(applications())
+            stack.append([applications(), 0])
         while stack and fewest > least:
             if len(path) == len(stack):  # back from below
                 bins, m = path.pop()
                 put(bins, -m)
-            choice = next(stack[-1], None)
+            level = stack[-1]
+            if level[0] is None:
+                level[0] = applications()
+                for _ in range(level[1]):
+                    next(level[0], None)
+            choice = next(level[0], None)
+            level[1] += 1
             if choice is None:
                 stack.pop()
                 continue
@@ -291,7 +299,9 @@ def bin_completion(counts: dict[int, int], capacity: int, steps: int = STEPS) ->
             if not any(left.values()):
                 best, fewest = list(path), used
             else:
-                stack.append(applications())
+                stack.append([applications(), 0])
+                if len(stack) > HELD:
+                    stack[-1 - HELD][0] = None
     except _Spent:
         pass
     return best
