@@ -323,7 +323,7 @@ def _joined(labels: DataFrame, above: DataFrame) -> DataFrame:
 
 
 def _labelled(rows: DataFrame, equal: DataFrame, labels: DataFrame) -> DataFrame:
-    several = equal.where("n > 1").select("set_key", "node")
+    several = compact(checkpointed(equal.where("n > 1").select("set_key", "node")))  # a side of its own, so that the join can be split
     out = rows.select("doc_id", "n_shingles", "set_key").join(several, "set_key", "left").withColumn("class_id", F.coalesce("node", "doc_id")).drop("node")
     out = out.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component_id", F.coalesce("component", "class_id"))
     return out.select("doc_id", "n_shingles", "class_id", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
