@@ -48,7 +48,7 @@ PIECE = 32
 WINDOW = LENGTH - PIECE + 1
 BESIDE = (LENGTH - PIECE) // 2
 #: Bytes hashed at once, texts gathered for one round of combining, text sorted at once, fragments of a group.
-CHUNK, GATHER, SORTED, GROUP = 1 << 19, 24 << 20, 2 << 20, 8_192
+CHUNK, GATHER, SORTED, GROUP = 1 << 19, 16 << 20, 2 << 20, 8_192
 #: Least share of all fragments that a common anchor has; compressed text whose common strings are combined at once.
 SHARE, TOGETHER = 1e-3, 1 << 20
 
