@@ -222,3 +222,19 @@ def test_streamed_ingest(spark, tmp_path):
         ingest(stream_files(spark, str(source), df.schema), target, str(tmp_path / "ck"), lambda b: b.withColumn("n", F.length("text")), "id")
         df.write.mode("append").parquet(str(source))
     assert spark.read.parquet(target).count() == 2
+
+
+def test_verdict_report(spark):
+    from veriloom.functions.columns import verdict_report
+
+    df = spark.createDataFrame([("Supported", "it says so", "a", "b", "first, then", "yes"), ("Not Addressed", None, "a", None, "", None)], "v string, r string, t string, f string, c string, z string")
+    got = [r[0] for r in df.select(verdict_report("v", "r", "t", "f", "c", "z")).collect()]
+    assert got == ["Verdict: Supported\nReason: it says so\nText: a\nReference: \nb\nReasoning Chain: first, then\nReasoning Final Answer: yes", "Verdict: Not Addressed\nReason: \nText: a\nReference: \n"]
+
+
+def test_result_table(spark):
+    from veriloom.operators.stats import result_table
+
+    df = spark.createDataFrame([("x", 0.5, 1), ("y", 0.6, 2)], "model string, share double, other int")
+    out = result_table(df, {"share": "Share", "model": "Judge"}, {"model": ["y"]})
+    assert out.columns == ["Share", "Judge"] and [tuple(r) for r in out.collect()] == [(0.6, "y")]

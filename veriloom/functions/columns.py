@@ -138,6 +138,20 @@ def valid_verdict(verdict: str | Column) -> Column:
     return F.when(v.isin(*VERDICTS), v)
 
 
+def text_and_reference(text: str | Column, reference: str | Column) -> Column:
+    """What a verdict was given on; null texts count as empty."""
+    return F.concat(F.lit("Text: "), F.coalesce(col(text), F.lit("")), F.lit("\nReference: \n"), F.coalesce(col(reference), F.lit("")))
+
+
+def verdict_report(verdict: str | Column, reason: str | Column, text: str | Column, reference: str | Column, chain: str | Column | None = None, final: str | Column | None = None) -> Column:
+    """A verdict told in lines; the reasoning's lines only where there is one. Nulls count as empty."""
+    told = [F.concat(F.lit("Verdict: "), F.coalesce(col(verdict), F.lit(""))), F.concat(F.lit("Reason: "), F.coalesce(col(reason), F.lit(""))), text_and_reference(text, reference)]
+    for name, c in (("Reasoning Chain", chain), ("Reasoning Final Answer", final)):
+        if c is not None:
+            told.append(F.when(F.length(col(c)) > 0, F.concat(F.lit(f"{name}: "), col(c))))
+    return F.concat_ws("\n", *told)
+
+
 def yes_no(flag: str | Column) -> Column:
     return F.when(col(flag), "Yes").when(~col(flag), "No")
 

@@ -127,3 +127,10 @@ def best_system(metrics: DataFrame, by: list[str], metric: str, name: str) -> Da
     """The name with the highest metric of each group; ties to the lesser name."""
     best = Window.partitionBy(*by).orderBy(F.col(metric).desc_nulls_last(), name) if by else Window.partitionBy(F.lit(0)).orderBy(F.col(metric).desc_nulls_last(), name)
     return metrics.withColumn("__r", F.row_number().over(best)).where("__r = 1").drop("__r")
+
+
+def result_table(metrics: DataFrame, headers: dict[str, str], where: dict[str, list] | None = None) -> DataFrame:
+    """The columns that headers names, in its order and under its titles; where: values to keep by column."""
+    for c, values in (where or {}).items():
+        metrics = metrics.where(F.col(c).isin(*values))
+    return metrics.select(*(F.col(c).alias(title) for c, title in headers.items()))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriloom.functions import payload
-from veriloom.functions.columns import char_span, cosine, rounded, sentences, token_count, words
+from veriloom.functions.columns import char_span, cosine, rounded, sentences, token_count, verdict_report, words
 from veriloom.operators import context, decompose, retrieval
 from veriloom.plans import pipelines
 from veriloom.plans.registry import Tables, query
@@ -265,18 +265,32 @@ def claims_extract(t: Tables) -> DataFrame:
     return decompose.claims(t.documents, "doc_id", "text")
 
 
-@query(r"""WITH d AS (SELECT doc_id, lang, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM documents),
+JUDGED = r"""WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM documents),
 b AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS token, len(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS n FROM benchmark),
-s AS (SELECT item_id, n, doc_id, count(*) AS k FROM b JOIN (SELECT doc_id, unnest(w) AS token FROM d) USING (token) GROUP BY 1, 2, 3)
-SELECT item_id, doc_id, CASE WHEN k / n >= 0.8 THEN 'Supported' WHEN k / n <= 0.3 THEN 'Not Addressed' ELSE 'Not Supported' END AS verdict FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY k DESC, doc_id) AS r FROM s) WHERE r = 1""")
-def judge_verdicts(t: Tables) -> DataFrame:
+s AS (SELECT item_id, n, doc_id, count(*) AS k FROM b JOIN (SELECT doc_id, unnest(w) AS token FROM d) USING (token) GROUP BY 1, 2, 3),
+j AS (SELECT item_id, doc_id, k / n AS share, CASE WHEN k / n >= 0.8 THEN 'Supported' WHEN k / n <= 0.3 THEN 'Not Addressed' ELSE 'Not Supported' END AS verdict FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY k DESC, doc_id) AS r FROM s) WHERE r = 1)
+"""
+
+
+def _judged(t: Tables) -> DataFrame:
     """Each benchmark text judged against the document that shares most of its words."""
     q = t.benchmark.select("item_id", "text", F.explode(words("text")).alias("token"))
     d = t.documents.select("doc_id", F.explode(words("text")).alias("token"))
     shared = q.join(d, "token").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("k"))
     best = retrieval.top_k(shared, 1, ["item_id"], "doc_id", "k")
     pairs = best.join(t.benchmark, "item_id").join(t.documents.select("doc_id", F.col("text").alias("reference")), "doc_id")
-    return decompose.judge(pairs, "text", "reference").select("item_id", "doc_id", "verdict")
+    return decompose.judge(pairs, "text", "reference")
+
+
+@query(JUDGED + "SELECT item_id, doc_id, verdict FROM j")
+def judge_verdicts(t: Tables) -> DataFrame:
+    return _judged(t).select("item_id", "doc_id", "verdict")
+
+
+@query(JUDGED + """SELECT item_id, doc_id, 'Verdict: ' || verdict || chr(10) || 'Reason: ' || printf('%.3f', share) || ' of the words occur in the reference' || chr(10) || 'Text: ' || b.text || chr(10) || 'Reference: ' || chr(10) || d.text AS report
+FROM j JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id)""")
+def verdict_reports(t: Tables) -> DataFrame:
+    return _judged(t).select("item_id", "doc_id", verdict_report("verdict", "reason", "text", "reference").alias("report"))
 
 
 @query(r"""WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS x FROM documents),

@@ -54,6 +54,12 @@ def agreement_by_stratum(t: Tables) -> DataFrame:
     return agreement.coefficients(_stratified(t), ["stratum"])
 
 
+@query(f"""SELECT g AS "Line Status", CAST(round(n) AS BIGINT) AS "Items", round(pa, 9) + 0.0 AS "Percent Agreement", {AC1} AS "Gwet's AC1" FROM {counts_sql(R, 'stratum')}""")
+def metric_result_table(t: Tables) -> DataFrame:
+    headers = {"stratum": "Line Status", "n_items": "Items", "percent_agreement": "Percent Agreement", "gwet_ac1": "Gwet's AC1"}
+    return stats.result_table(agreement.coefficients(_stratified(t), ["stratum"]), headers)
+
+
 @query(f"""SELECT round((pa - pe) / (1 - pe), 9) + 0.0 AS conger_kappa FROM {counts_sql(R)}, (SELECT sum(m * m) - sum(v / k) AS pe FROM (
 SELECT value, sum(share) / max(k) AS m, (sum(share * share) - max(k) * (sum(share) / max(k)) * (sum(share) / max(k))) / (max(k) - 1) AS v, max(k) AS k FROM (
 SELECT rater, value, count(*) / sum(count(*)) OVER (PARTITION BY rater) AS share, (SELECT count(DISTINCT rater) FROM {R}) AS k FROM {R} GROUP BY 1, 2) GROUP BY 1))""")
