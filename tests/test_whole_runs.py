@@ -82,3 +82,10 @@ def test_texts_come_in_small_batches(spark, tmp_path):
     rows = spark.range(3000).select(F.repeat(F.lit("some words of a text "), 100).alias("text")).coalesce(1)
     assert decompose.embed(rows, "text", writes_down(tmp_path / "calls")).where("size(dense) = 64").count() == 3000
     assert max(noted(tmp_path / "calls")) <= 512
+
+
+def test_retrieval_embeds_each_fact_once(tables, tmp_path):
+    asked, facts = embedded(tables, tmp_path / "calls")
+    found = retrieval.retrieve(asked, facts, "rerank", 3, dedup=True)
+    assert found.where("text is not null and rank <= 3").count() == 36
+    assert sum(noted(tmp_path / "calls")) == 202
